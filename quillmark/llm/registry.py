@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmark.llm import exact_dedup, url_filter
+from quillmark.llm import bpe, exact_dedup, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op4_url_filter": url_filter.query,
     "op10_exact_dedup": exact_dedup.query,
 }
