@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillmark.llm import bpe, exact_dedup, packing, token_counts, toxicity, url_filter
+from quillmark.llm import bpe, exact_dedup, html_extract, packing, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_packing": packing.query,
     "op4_url_filter": url_filter.query,
+    "op5_html_extract": html_extract.query,
     "op8_token_counts": token_counts.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
