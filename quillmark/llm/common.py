@@ -71,3 +71,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if moved is None:
         return root
     return root.select("id").join(moved.select(F.col("x").alias("id"), "p"), "id", "left").select("id", F.coalesce("p", "id").alias("root"))
+
+
+#: Most rows of two longs that are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A thin table (already cut), marked for broadcast if its counted rows are under the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in dropped (doc_id); rows without a doc_id stay. Texts move only if the list is large."""
+    return docs.join(bounded(cut(dropped)), "doc_id", "left_anti")

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import cache
 
@@ -57,7 +58,7 @@ def encoder(path: str) -> PartCache:
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def many(texts):
-        return [np.array(x.ids, "<u4").tobytes() for k in range(0, len(texts), 20_000) for x in tokenizer.encode_batch_fast(texts[k:k + 20_000], add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for k in range(0, len(texts), 20_000) for x in tokenizer.encode_batch_fast(texts[k:k + 20_000], add_special_tokens=False)]
 
     return PartCache(many)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillmark.llm import bpe, exact_dedup, html_extract, packing, token_counts, toxicity, url_filter
+from quillmark.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_packing": packing.query,
+    "op3_minhash_dedup": minhash_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_html_extract": html_extract.query,
+    "op7_embedding_dedup": embedding_dedup.query,
     "op8_token_counts": token_counts.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,

@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import table
+from quillmark.llm.common import cut, table
 from quillmark.llm.pieces import by_bytes
 
 FIT_ROWS = 10_000
 LEXICON = 5_000
 EXCEPTIONS = 1_000
 #: Least document frequency among toxic rows, and least log odds, of an entry.
-MIN_DF, MIN_ODDS = 6, 3.0
+MIN_DF, MIN_ODDS = 4, 3.0
 PREFIXES = (4, 5, 6)
 #: Added to the words of a text where its density is taken, so that one word in three isn't all.
 SMOOTH = 10.0
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
     draw, full = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), float(1 << 30)
     at = F.when(F.col("toxic") == 1, min(full, full * rows / n[1])).when(F.col("toxic") == 0, min(full, full * rows / n[0]))
     few = known.where(draw < at)  # about 2 * rows at most
-    sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("toxic", "text")
+    sample = cut(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("toxic", "text"))
 
     def count(batches):
         for batch in batches:
