@@ -39,38 +39,31 @@ def parts_for(df: DataFrame, each: int = 4 << 20, least: int = 12) -> int:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable from each node over undirected edges (a, b) of long ids.
 
-    Each round hooks the root of every component to the smallest root that it touches and then jumps pointers until
-    the labels are flat, so a chain of n nodes takes O(log n) rounds. Edges are relabelled and reduced to distinct
-    pairs of roots, which empties them. Only counts reach the driver. A hub that holds many edges is aggregated
-    map-side (min over an edge list), and its label joins spread by Spark's skew handling.
+    Each round gives every end of an edge the least label around it, jumps pointers twice, and relabels the edges, of which
+    those inside a component go; a chain of n nodes takes O(log n) rounds. Only emptiness tests reach the driver. A hub that holds
+    many edges is aggregated map-side (a minimum), and its label joins spread by Spark's skew handling.
     """
-    root = nodes.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("root"))
-    links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    links = cut(links)
-    moved = None  # (id, root) for ids that are roots no more
+    root = nodes.select(F.col("id").cast("long").alias("id"))
+    links = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    moved = None  # (x, p): labels of the ids that have been an edge's end
     while not links.isEmpty():
         both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a")))
-        hook = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p"))
-        hook = cut(hook)  # parent <= id, a forest
-        while True:  # pointer jumping
-            up = hook.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            nxt = cut(hook.join(up, "p", "left").select("x", F.coalesce("pp", "p").alias("p"), (F.col("p") != F.coalesce("pp", "p")).alias("changed")))
-            hook = nxt.select("x", "p")
-            if nxt.where("changed").isEmpty():
-                break
+        hook = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p")))  # a label is never above its id: a forest
+        for _ in range(2):
+            hook = hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("pp")), "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
+        hook = cut(hook)
         if moved is None:
             moved = hook
         else:
             step = hook.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            kept = moved.join(step, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
-            moved = cut(kept.union(hook.join(moved.select("x"), "x", "left_anti")))
+            moved = cut(moved.join(step, "p", "left").select("x", F.coalesce("pp", "p").alias("p")))
         at = hook.select(F.col("x").alias("a"), F.col("p").alias("ra"))
         bt = hook.select(F.col("x").alias("b"), F.col("p").alias("rb"))
         links = cut(links.join(at, "a").join(bt, "b").where("ra != rb")
                     .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if moved is None:
-        return root
-    return root.select("id").join(moved.select(F.col("x").alias("id"), "p"), "id", "left").select("id", F.coalesce("p", "id").alias("root"))
+        return root.withColumn("root", F.col("id"))
+    return root.join(moved.select(F.col("x").alias("id"), "p"), "id", "left").select("id", F.coalesce("p", "id").alias("root"))
 
 
 #: Most rows of two longs that are broadcast; larger ones are shuffled.
