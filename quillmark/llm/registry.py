@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, token_counts, toxicity, url_filter
+from quillmark.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_dedup": minhash_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_html_extract": html_extract.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_embedding_dedup": embedding_dedup.query,
     "op8_token_counts": token_counts.query,
     "op9_toxicity": toxicity.query,
