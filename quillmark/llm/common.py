@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.session import table  # noqa: F401  (the operators' reader)
@@ -26,14 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes of the files under df, from the planner's statistics; no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet into the shared checkpoint folder and read again, so that later reads take only their columns."""
+    sc = df.sparkSession.sparkContext
+    cut(df.sparkSession.range(1))  # sees to the folder
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, each: int = 4 << 20, least: int = 12) -> int:
-    """Partitions so that each holds about so many bytes of input; grows in proportion with the input."""
-    return max(least, min(200_000, input_bytes(df.sparkSession, df) // each))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text_of()).cast("long")), F.lit(0))).first()[0]
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

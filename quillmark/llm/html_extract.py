@@ -202,7 +202,7 @@ def deduce(rows: list[tuple]) -> tuple[str | None, list[str]]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, container, boiler): one row per host."""
-    found = tokens(pages)
+    found = cut(tokens(pages))
     total = found.where("path = ''").select("host", F.col("pages").alias("total"))
     kept = found.join(total, "host").where(F.col("pages") >= F.greatest(F.lit(1.0), RARE * F.col("total")))
 

@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from quillmark.llm.common import cut, input_bytes, table
+from quillmark.llm.common import cut, table, text_bytes
 
 LENGTH, K = 50, 20
 LEFT = LENGTH - K
 WIDTH = LENGTH + LEFT
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BLOCK = 1 << 17
-#: Bytes of input files for each hash bucket and each range of suffixes.
-SHARE = 6 << 20
+#: Bytes of text for each hash bucket and each range of suffixes.
+SHARE = 12 << 20
 #: Most positions drawn for splitters.
 SAMPLE = 100_000
 LAST = 2**63 - 1
@@ -228,10 +228,12 @@ def _keys(data: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     right = np.minimum(start[doc + 1] - at, LENGTH).astype(np.uint8)
     left = np.minimum(at - start[doc], LEFT).astype(np.uint8)
     col = np.concatenate([np.arange(LENGTH), -1 - np.arange(LEFT)])
-    place = at[:, None] + col
-    keys = data[np.clip(place, 0, len(data) - 1)]
-    keys[:, :LENGTH][np.arange(LENGTH) >= right[:, None]] = 0
-    keys[:, LENGTH:][np.arange(LEFT) >= left[:, None]] = 0
+    keys = np.empty((len(at), WIDTH), np.uint8)
+    for a in range(0, len(at), 10_000):  # the matrix of places is eight times as large as the keys
+        b = a + 10_000
+        keys[a:b] = data[np.clip(at[a:b, None] + col, 0, len(data) - 1)]
+    keys[:, :LENGTH][np.arange(LENGTH, dtype=np.uint8) >= right[:, None]] = 0
+    keys[:, LENGTH:][np.arange(LEFT, dtype=np.uint8) >= left[:, None]] = 0
     return keys, right, left
 
 
@@ -484,11 +486,11 @@ def _cover(n: int, news: list[dict]) -> np.ndarray:
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs with _bytes, _spans (array of begin and end in bytes) and _kept (the remaining bytes)."""
-    spark = docs.sparkSession
-    size = input_bytes(spark, docs)
+    size = text_bytes(docs)
     ranges = max(12, min(100_000, size // SHARE))
     chunks = _chunks(docs, min(1.0, SAMPLE / max(1, size)))
-    chunks = cut(chunks.repartition(max(12, int(size // (2 * CHUNK))), "chunk_id"))
+    dealt = max(12, int(size // (2 * CHUNK)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # not fewer than a join would ask for
+    chunks = cut(chunks.repartition(dealt, "chunk_id"))
     drawn = [s[i:i + K] for r in chunks.select("sample").collect() for s in [bytes(r["sample"])] for i in range(0, len(s), K)]  # about SAMPLE strings
     drawn = sorted({s for s in drawn if not s.endswith(b"\0")})
     splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
