@@ -41,34 +41,43 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text_of()).cast("long")), F.lit(0))).first()[0]
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id reachable from each node over undirected edges (a, b) of long ids.
+def merged_labels(edges: DataFrame) -> DataFrame | None:
+    """(x, p): for every end x of the undirected edges (a, b) of long ids, the least id p that it reaches; None without edges.
 
     Each round gives every end of an edge the least label around it, jumps pointers twice, and relabels the edges, of which
     those inside a component go; a chain of n nodes takes O(log n) rounds. Only emptiness tests reach the driver. A hub that holds
     many edges is aggregated map-side (a minimum), and its label joins spread by Spark's skew handling.
     """
-    root = nodes.select(F.col("id").cast("long").alias("id"))
     links = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    moved = None  # (x, p): labels of the ids that have been an edge's end
+    moved = None
     while not links.isEmpty():
         both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a")))
-        hook = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p")))  # a label is never above its id: a forest
+        hook = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p"))  # a label is never above its id: a forest
         for _ in range(2):
             hook = hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("pp")), "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
         hook = cut(hook)
         if moved is None:
             moved = hook
         else:
-            step = hook.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            moved = cut(moved.join(step, "p", "left").select("x", F.coalesce("pp", "p").alias("p")))
+            moved = moved.join(hook.select(F.col("x").alias("p"), F.col("p").alias("pp")), "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
         at = hook.select(F.col("x").alias("a"), F.col("p").alias("ra"))
         bt = hook.select(F.col("x").alias("b"), F.col("p").alias("rb"))
         links = cut(links.join(at, "a").join(bt, "b").where("ra != rb")
                     .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    return moved
+
+
+def relabelled(rows: DataFrame, column: str, moved: DataFrame | None) -> DataFrame:
+    """rows with the labels in a column replaced by those that they were merged into."""
     if moved is None:
-        return root.withColumn("root", F.col("id"))
-    return root.join(moved.select(F.col("x").alias("id"), "p"), "id", "left").select("id", F.coalesce("p", "id").alias("root"))
+        return rows
+    new = moved.select(F.col("x").alias(column), F.col("p").alias("_p"))
+    return rows.join(new, column, "left").withColumn(column, F.coalesce("_p", column)).drop("_p")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root): the smallest id reachable from each node over undirected edges (a, b) of long ids."""
+    return relabelled(nodes.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("root")), "root", merged_labels(edges)).select("id", "root")
 
 
 #: Most rows of two longs that are broadcast; larger ones are shuffled.
