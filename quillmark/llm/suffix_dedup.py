@@ -56,13 +56,13 @@ _DOWN = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(BL
 
 def _squeeze(x: np.ndarray) -> bytes:
     """A compressed array: bytes of equal weight together."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _swell(b: bytes, kind) -> np.ndarray:
     d = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
     w = np.dtype(kind).itemsize
-    return np.ascontiguousarray(d.reshape(w, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(d.reshape(w, len(d) // w).T).view(kind).ravel()
 
 
 # 1: chunks
