@@ -48,6 +48,7 @@ class Rule:
     mode: str | None = None
     sql: str | None = None  # evidence array in SQL, where the pattern isn't enough
     no_sql: bool = False
+    absent: bool = False  # for a script that the corpus tables don't hold: left out of the SQL
 
     def found(self) -> Column:
         """Evidence of this rule on a line, as an array of strings."""
