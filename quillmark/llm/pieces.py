@@ -29,7 +29,7 @@ def parts(text: str) -> list[str]:
 class PartCache:
     """Ids of parts, little-endian unsigned 32-bit, kept up to a bound of entries and of part length."""
 
-    LONGEST, MOST = 48, 1_200_000
+    LONGEST, MOST = 48, 600_000
 
     def __init__(self, encode_many):
         self.encode_many = encode_many  # list of strings -> list of bytes
