@@ -5,7 +5,7 @@ move fifty times the input, so the sort takes a sparse set of suffixes that lose
 A position is an anchor if its K-byte string has the least hash of any LENGTH-byte window around it; equal windows
 have their anchors at equal places, so every repeated window is seen from an anchor within its first LENGTH - K bytes.
 
-1. Documents are gathered in chunks of about CHUNK bytes (compressed rows, dealt by chunk and cut into the shared folder).
+1. Documents are gathered in chunks of about CHUNK bytes (compressed rows, cut into the shared folder).
 2. Of each chunk the hashes of anchors' K-byte strings, with the least and greatest doc_id, go sorted and
    delta-coded to hash buckets. A bucket tells each chunk which of its hashes are held by two documents at least.
 3. Only those anchors' suffixes are sorted: a key is LENGTH bytes from the anchor and then, reversed, the LENGTH - K
@@ -18,7 +18,7 @@ have their anchors at equal places, so every repeated window is seen from an anc
    groups of equal windows and their least doc_id. A key's answer is one bit per window.
 5. Chunks turn the bits into covered bytes.
 
-Splitters come from a bounded sample; they only place the cuts. Chunks are dealt once, and the later joins reuse that.
+Splitters come from a bounded sample; they only place the cuts.
 
 Defined results: null and empty texts have 0 bytes and nothing removed; texts under LENGTH bytes lose nothing; very long
 texts are handled in blocks; rows that repeat a doc_id never remove from each other, but lose what a smaller doc_id has; a
@@ -78,7 +78,7 @@ def _chunks(docs: DataFrame, rate: float) -> DataFrame:
             nonlocal made, held, size
             rows = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
                 w.write_table(rows)
             data, _ = _bytes(rows)
             draw = rng.binomial(max(0, len(data) - K), min(1.0, rate)) if len(data) > K else 0
@@ -291,7 +291,7 @@ def _runs(chunks: DataFrame, shared: DataFrame, buckets: int, splitters: list[by
                     c = common[x:y].copy()
                     c[0] = 0
                     rest = keys[x:y][np.arange(WIDTH) >= c[:, None]]
-                    out.append((int(goes[x]), chunk, _squeeze(c), zstandard.ZstdCompressor(level=1).compress(rest.tobytes()), _squeeze(np.stack([right[x:y], left[x:y]], axis=1).ravel()), _squeeze(doc[x:y]), _squeeze(np.arange(x, y, dtype=np.uint32))))
+                    out.append((int(goes[x]), chunk, _squeeze(c), zstandard.ZstdCompressor(level=6).compress(rest.tobytes()), _squeeze(np.stack([right[x:y], left[x:y]], axis=1).ravel()), _squeeze(doc[x:y]), _squeeze(np.arange(x, y, dtype=np.uint32))))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["range", "chunk_id", "a", "b", "c", "d", "e"])
 
@@ -466,21 +466,24 @@ def _merged(runs: DataFrame) -> DataFrame:
 
 def _cover(n: int, news: list[dict]) -> np.ndarray:
     """Which of a chunk's bytes go."""
-    change = np.zeros(n + 1, np.int64)
     local = next((x for x in news if x["kind"] == 0), None)
-    if local is not None:
-        at, right, left = _swell(local["a"], np.uint32).astype(np.int64), _swell(local["b"], np.uint8).astype(np.int64), _swell(local["c"], np.uint8).astype(np.int64)
-        ok = right + left >= LENGTH
-        change += np.bincount((at - left)[ok], minlength=n + 1) - np.bincount((at + right)[ok], minlength=n + 1)
-        wait, group = _swell(local["d"], np.uint32).astype(np.int64), _swell(local["e"], np.uint32).astype(np.int64)
-        bits = np.zeros(int(group.max()) + 1 if len(group) else 0, np.uint32)
-        for x in news:
-            if x["kind"] == 1:
-                bits[_swell(x["a"], np.uint32).astype(np.int64)] = _swell(x["b"], np.uint32)
-        mine = bits[group]
-        for l in range(LEFT + 1):
-            p = wait[(mine >> np.uint32(l)) & np.uint32(1) > 0] - l
-            change += np.bincount(p, minlength=n + 1) - np.bincount(p + LENGTH, minlength=n + 1)
+    if local is None:
+        return np.zeros(n, bool)
+    at, right, left = _swell(local["a"], np.uint32).astype(np.int64), _swell(local["b"], np.uint8).astype(np.int64), _swell(local["c"], np.uint8).astype(np.int64)
+    ok = right + left >= LENGTH
+    begins, ends = [(at - left)[ok]], [(at + right)[ok]]
+    wait, group = _swell(local["d"], np.uint32).astype(np.int64), _swell(local["e"], np.uint32).astype(np.int64)
+    bits = np.zeros(int(group.max()) + 1 if len(group) else 0, np.uint32)
+    for x in news:
+        if x["kind"] == 1:
+            bits[_swell(x["a"], np.uint32).astype(np.int64)] = _swell(x["b"], np.uint32)
+    mine = bits[group]
+    wait, mine = wait[mine > 0], mine[mine > 0]
+    for l in range(LEFT + 1):
+        p = wait[(mine >> np.uint32(l)) & np.uint32(1) > 0] - l
+        begins.append(p)
+        ends.append(p + LENGTH)
+    change = np.bincount(np.concatenate(begins), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
     return np.cumsum(change)[:n] > 0
 
 
@@ -489,8 +492,7 @@ def removed(docs: DataFrame) -> DataFrame:
     size = text_bytes(docs)
     ranges = max(12, min(100_000, size // SHARE))
     chunks = _chunks(docs, min(1.0, SAMPLE / max(1, size)))
-    dealt = max(12, int(size // (2 * CHUNK)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # not fewer than a join would ask for
-    chunks = cut(chunks.repartition(dealt, "chunk_id"))
+    chunks = cut(chunks)
     drawn = [s[i:i + K] for r in chunks.select("sample").collect() for s in [bytes(r["sample"])] for i in range(0, len(s), K)]  # about SAMPLE strings
     drawn = sorted({s for s in drawn if not s.endswith(b"\0")})
     splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
