@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import table
 from quillmark.llm.hashing import HashTable
-from quillmark.llm.pieces import PartCache, by_bytes
+from quillmark.llm.pieces import PartCache, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
@@ -160,13 +160,9 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in by_bytes(texts):
-                ids = c.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())],
-                    names=["doc_id", "ids", "decoded"])
+        for rows, texts in slices(batches):
+            ids = c.encode(texts)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, table
-from quillmark.llm.pieces import PartCache, by_bytes
+from quillmark.llm.pieces import PartCache, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -109,18 +109,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches):
         e = encoder(path)
-        for batch in batches:
-            texts, keys = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
-            for a, b in by_bytes(texts):
-                out = []
-                for key, ids in zip(keys[a:b], e.encode(texts[a:b])):
-                    ids += close
-                    n = len(ids) // 4
-                    first = n % capacity or capacity
-                    edges = [0, *range(first, n + 1, capacity)]
-                    out += [(key, i, x, y - x, ids[4 * x:4 * y]) for i, (x, y) in enumerate(zip(edges, edges[1:]))]
-                k, i, x, n, ids = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int32()), pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+        for rows, texts in slices(batches):
+            out = []
+            for key, ids in zip(rows.column("doc_id").to_pylist(), e.encode(texts)):
+                ids += close
+                n = len(ids) // 4
+                first = n % capacity or capacity
+                edges = [0, *range(first, n + 1, capacity)]
+                out += [(key, i, x, y - x, ids[4 * x:4 * y]) for i, (x, y) in enumerate(zip(edges, edges[1:]))]
+            k, i, x, n, ids = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int32()), pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

@@ -7,8 +7,13 @@ are those that it has inside the whole text.
 
 from __future__ import annotations
 
+import ctypes
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _UNSAFE = re.compile(r"\x20(?:\s|\Z)")
 
 
@@ -29,7 +34,7 @@ def parts(text: str) -> list[str]:
 class PartCache:
     """Ids of parts, little-endian unsigned 32-bit, kept up to a bound of entries and of part length."""
 
-    LONGEST, MOST = 48, 600_000
+    LONGEST, MOST = 48, 300_000
 
     def __init__(self, encode_many):
         self.encode_many = encode_many  # list of strings -> list of bytes
@@ -57,13 +62,29 @@ class PartCache:
         return out
 
 
-def by_bytes(texts, most: int = 4 << 20):
-    """(begin, end) ranges of a list of texts with at most about so many characters each."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+SLICE = 1 << 20
+
+
+def slices(batches, column: str = "text", most: int = SLICE):
+    """(rows, texts): each Arrow batch in slices of about so many bytes of text, null as empty.
+
+    Only a slice's texts are Python strings at a time; when the batches end, freed memory goes back to the system.
+    """
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
+            rows = batch.slice(a, b - a)
+            yield rows, rows.column(column).fill_null("").to_pylist()
+            a = b
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back, so that the worker's next stage doesn't find it taken."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quillmark.llm.common import cut, table, text_bytes
+from quillmark.llm.pieces import release
 
 LENGTH, K = 50, 20
 LEFT = LENGTH - K
@@ -101,12 +102,13 @@ def _chunks(docs: DataFrame, rate: float) -> DataFrame:
                     yield pack()
         if held:
             yield pack()
+        release()
 
     return docs.mapInArrow(run, "chunk_id long, data binary, sample binary")
 
 
-def _rows(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(pa.py_buffer(data)).read_all().combine_chunks()
+def _rows(data: pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
 def _bytes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +181,8 @@ def _shared(chunks: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk_id").to_pylist(), batch.column("data").to_pylist()):
-                rows = _rows(data)
+            for chunk, data in zip(batch.column("chunk_id").to_pylist(), batch.column("data")):
+                rows = _rows(data.as_buffer())
                 text, start = _bytes(rows)
                 at, h = anchors(text, start)
                 if not len(at):
@@ -197,6 +199,7 @@ def _shared(chunks: DataFrame, buckets: int) -> DataFrame:
                 out = [(int(bucket[x]), _squeeze(np.diff(low[x:y], prepend=np.uint32(0))), _squeeze(least[x:y]), _squeeze(most[x:y] - least[x:y])) for x, y in zip(edge[:-1], edge[1:])]
                 b, l, d, m = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array(l, pa.binary()), pa.array(d, pa.binary()), pa.array(m, pa.binary())], names=["bucket", "chunk_id", "low", "least", "more"])
+        release()
 
     def answer(key, part):
         lows = [np.cumsum(_swell(b, np.uint32), dtype=np.uint32) for b in part["low"]]
@@ -262,8 +265,8 @@ def _runs(chunks: DataFrame, shared: DataFrame, buckets: int, splitters: list[by
     def send(batches):
         edges = np.frombuffer(b"".join(splitters), f"S{K}") if splitters else np.zeros(0, f"S{K}")
         for batch in batches:
-            for chunk, data, heard in zip(batch.column("chunk_id").to_pylist(), batch.column("data").to_pylist(), batch.column("heard").to_pylist()):
-                rows = _rows(data)
+            for chunk, data, heard in zip(batch.column("chunk_id").to_pylist(), batch.column("data"), batch.column("heard")):
+                rows, heard = _rows(data.as_buffer()), heard.as_py()
                 text, start = _bytes(rows)
                 at, h = anchors(text, start)
                 bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -294,6 +297,7 @@ def _runs(chunks: DataFrame, shared: DataFrame, buckets: int, splitters: list[by
                     out.append((int(goes[x]), chunk, _squeeze(c), zstandard.ZstdCompressor(level=6).compress(rest.tobytes()), _squeeze(np.stack([right[x:y], left[x:y]], axis=1).ravel()), _squeeze(doc[x:y]), _squeeze(np.arange(x, y, dtype=np.uint32))))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["range", "chunk_id", "a", "b", "c", "d", "e"])
+        release()
 
     return joined.mapInArrow(send, "range int, chunk_id long, a binary, b binary, c binary, d binary, e binary")
 
@@ -502,8 +506,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def finish(batches):
         for batch in batches:
-            for data, news in zip(batch.column("data").to_pylist(), batch.column("news").to_pylist()):
-                rows = _rows(data)
+            for data, news in zip(batch.column("data"), batch.column("news")):
+                rows, news = _rows(data.as_buffer()), news.as_py()
                 text, start = _bytes(rows)
                 gone = _cover(len(text), news or [])
                 spans, kept = [], []
@@ -520,6 +524,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 for name, col in zip(("_bytes", "_spans", "_kept"), extra):
                     rows = rows.append_column(name, col)
                 yield from rows.to_batches(max_chunksize=500)
+        release()
 
     span = StructType([StructField("begin", LongType()), StructField("end", LongType())])
     schema = StructType([*docs.schema.fields, StructField("_bytes", LongType()), StructField("_spans", ArrayType(span)), StructField("_kept", BinaryType())])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import table
 from quillmark.llm.hashing import HashTable
-from quillmark.llm.pieces import by_bytes
+from quillmark.llm.pieces import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 class Automaton:
     """Trie with failure links f, popped counts and counts at the end of a word. Node 0 is the root."""
 
-    LONGEST, MOST = 48, 500_000
+    LONGEST, MOST = 48, 300_000
 
     def __init__(self, tokens: list[bytes]):
         children: list[dict[int, int]] = [{}]
@@ -140,11 +140,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         a = automaton(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in by_bytes(texts):
-                words, tokens = a.count(texts[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        for rows, texts in slices(batches):
+            words, tokens = a.count(texts)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -20,12 +20,12 @@ import re
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, table
-from quillmark.llm.pieces import by_bytes
+from quillmark.llm.pieces import slices
 
 FIT_ROWS = 10_000
 LEXICON = 5_000
@@ -114,6 +114,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
+def _counted(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e for (e, _), _ in found], pa.string()), pa.array([t for (_, t), _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], names=["entry", "toxic", "n"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple, tuple, tuple | None]:
     """(weights, exception phrases, curve) from the labelled rows that are not held out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -123,20 +127,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
     draw, full = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), float(1 << 30)
     at = F.when(F.col("toxic") == 1, min(full, full * rows / n[1])).when(F.col("toxic") == 0, min(full, full * rows / n[0]))
     few = known.where(draw < at)  # about 2 * rows at most
-    sample = cut(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("toxic", "text"))
+    sample = cut(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"))
 
     def count(batches):
-        for batch in batches:
+        for rows, texts in slices(batches):
             df: dict[tuple[str, int], int] = {}
             total = [0, 0]
-            for toxic, text in zip(batch["toxic"], batch["text"]):
-                total[int(toxic)] += 1
-                for e in entries(folded(text or "")):
-                    df[e, int(toxic)] = df.get((e, int(toxic)), 0) + 1
-            found = [(e, t, k) for (e, t), k in df.items()] + [("", 0, total[0]), ("", 1, total[1])]
-            yield pd.DataFrame(found, columns=["entry", "toxic", "n"])
-
-    by = sample.mapInPandas(count, "entry string, toxic int, n long").groupBy("entry").agg(
+            for toxic, text in zip(rows.column("toxic").to_pylist(), texts):
+                total[toxic] += 1
+                for e in entries(folded(text)):
+                    df[e, toxic] = df.get((e, toxic), 0) + 1
+            yield _counted([*df.items(), (("", 0), total[0]), (("", 1), total[1])])
+
+    by = sample.mapInArrow(count, "entry string, toxic int, n long").groupBy("entry").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     top = by.where(F.col("t") >= MIN_DF).where(F.col("t") > 2 * F.col("c")).orderBy(F.desc("t"), "entry").limit(4 * LEXICON + 1).collect()
     size = next(((r["t"], r["c"]) for r in top if r["entry"] == ""), None) or tuple(by.where("entry = ''").select("t", "c").first() or (0, 0))
@@ -150,26 +153,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
     fixed = tuple(sorted(weights.items()))
 
     def phrases(batches):  # pairs of words of which one is in the lexicon: those at home in clean texts are exceptions
-        for batch in batches:
+        for rows, texts in slices(batches):
             df: dict[tuple[str, int], int] = {}
-            for toxic, text in zip(batch["toxic"], batch["text"]):
-                words = folded(text or "")
+            for toxic, text in zip(rows.column("toxic").to_pylist(), texts):
+                words = folded(text)
                 hit = [any(e in weights for e in (f" {w} ", *(f" {w[:n]}" for n in PREFIXES if len(w) > n))) for w in words]
                 for p in {f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]}:
-                    df[p, int(toxic)] = df.get((p, int(toxic)), 0) + 1
-            yield pd.DataFrame([(p, t, k) for (p, t), k in df.items()], columns=["entry", "toxic", "n"])
+                    df[p, toxic] = df.get((p, toxic), 0) + 1
+            yield _counted(list(df.items()))
 
-    pairs = sample.mapInPandas(phrases, "entry string, toxic int, n long").groupBy("entry").agg(
+    pairs = sample.mapInArrow(phrases, "entry string, toxic int, n long").groupBy("entry").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     spared = tuple(sorted(r["entry"] for r in pairs.where((F.col("c") >= MIN_DF) & (F.col("c") > F.col("t"))).orderBy(F.desc("c"), "entry").limit(EXCEPTIONS).collect()))
 
     def measure(batches):
         lexicon = _lexicon(fixed, spared, None)
-        for batch in batches:
-            x = [lexicon.features(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"y": batch["toxic"].astype("int32"), "a": [v[0] for v in x], "b": [v[1] for v in x]})
+        for rows, texts in slices(batches):
+            x = [lexicon.features(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([rows.column("toxic"), pa.array([v[0] for v in x]), pa.array([v[1] for v in x])], names=["y", "a", "b"])
 
-    seen = sample.mapInPandas(measure, "y int, a double, b double").toPandas()  # three numbers for each fitted row
+    seen = sample.mapInArrow(measure, "y int, a double, b double").toPandas()  # three numbers for each fitted row
     return fixed, spared, _logistic(seen[["a", "b"]].to_numpy(float), seen["y"].to_numpy(float))
 
 
@@ -179,12 +182,10 @@ def scored(docs: DataFrame, model: tuple) -> DataFrame:
 
     def score(batches):
         lexicon = _lexicon(*send.value)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for a, b in by_bytes(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64"), "score": lexicon.scores(texts[a:b])})
+        for rows, texts in slices(batches):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(lexicon.scores(texts))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(score, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,15 +194,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic; all columns stay. The texts are scored where they are, with no join."""
+    """docs without those predicted toxic; all columns stay. Rows are scored and filtered where they are, with no join."""
     send = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def fine(text: pd.Series) -> pd.Series:
-        lexicon, texts = _lexicon(*send.value), [t or "" for t in text]
-        return pd.Series(np.concatenate([lexicon.scores(texts[a:b]) < 0.5 for a, b in by_bytes(texts)] or [np.zeros(0, bool)]))
+    def fine(batches):
+        lexicon = _lexicon(*send.value)
+        for rows, texts in slices(batches):
+            yield rows.filter(pa.array(lexicon.scores(texts) < 0.5))
 
-    return docs.where(fine(F.col("text").cast("string")))
+    return docs.mapInArrow(fine, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
