@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import table
 from quillmark.llm.hashing import HashTable
-from quillmark.llm.pieces import PartCache, slices
+from quillmark.llm.pieces import PartCache, claim, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
@@ -159,6 +159,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
+        claim("bpe", codec.cache_clear)
         c = codec(path, pattern)
         for rows, texts in slices(batches):
             ids = c.encode(texts)

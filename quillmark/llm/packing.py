@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, table
-from quillmark.llm.pieces import PartCache, slices
+from quillmark.llm.pieces import PartCache, claim, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     close = np.array([end], "<u4").tobytes()
 
     def run(batches):
+        claim("packing", encoder.cache_clear)
         e = encoder(path)
         for rows, texts in slices(batches):
             out = []

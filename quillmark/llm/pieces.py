@@ -8,6 +8,7 @@ are those that it has inside the whole text.
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 
 import numpy as np
@@ -63,6 +64,19 @@ class PartCache:
 
 
 SLICE = 1 << 20
+_kept: dict = {}
+
+
+def claim(owner: str, clear=None) -> None:
+    """Tells a Python worker whose tables it holds: those that other operators left in it are dropped first."""
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        _kept.pop(k)()
+    if clear is not None:
+        _kept[owner] = clear
+    if others:
+        gc.collect()
+        release()
 
 
 def slices(batches, column: str = "text", most: int = SLICE):

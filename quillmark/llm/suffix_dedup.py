@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quillmark.llm.common import cut, table, text_bytes
-from quillmark.llm.pieces import release
+from quillmark.llm.pieces import claim, release
 
 LENGTH, K = 50, 20
 LEFT = LENGTH - K
@@ -72,6 +72,7 @@ def _chunks(docs: DataFrame, rate: float) -> DataFrame:
     """(chunk_id, data, sample): packed rows, and some K-byte strings."""
 
     def run(batches):
+        claim("suffix")
         part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
         rng = np.random.default_rng(part)
 

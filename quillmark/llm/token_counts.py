@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import table
 from quillmark.llm.hashing import HashTable
-from quillmark.llm.pieces import slices
+from quillmark.llm.pieces import claim, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -139,6 +139,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
+        claim("token_counts", automaton.cache_clear)
         a = automaton(path)
         for rows, texts in slices(batches):
             words, tokens = a.count(texts)

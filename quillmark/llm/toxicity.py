@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, table
-from quillmark.llm.pieces import slices
+from quillmark.llm.pieces import claim, slices
 
 FIT_ROWS = 10_000
 LEXICON = 5_000
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
     sample = cut(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"))
 
     def count(batches):
+        claim("toxicity", _lexicon.cache_clear)
         for rows, texts in slices(batches):
             df: dict[tuple[str, int], int] = {}
             total = [0, 0]
@@ -181,6 +182,7 @@ def scored(docs: DataFrame, model: tuple) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
+        claim("toxicity", _lexicon.cache_clear)
         lexicon = _lexicon(*send.value)
         for rows, texts in slices(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(lexicon.scores(texts))], names=["doc_id", "score"])
@@ -198,6 +200,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def fine(batches):
+        claim("toxicity", _lexicon.cache_clear)
         lexicon = _lexicon(*send.value)
         for rows, texts in slices(batches):
             yield rows.filter(pa.array(lexicon.scores(texts) < 0.5))
