@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark) -> None:
+    """Lets Spark remove the shuffle and checkpoint files that nothing refers to any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet into the shared checkpoint folder and read again, so that later reads take only their columns."""
     sc = df.sparkSession.sparkContext
