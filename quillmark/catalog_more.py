@@ -165,7 +165,7 @@ query("diar_agreement_grid")(lambda s, d: timeline.agreement(_spoken(s, d), _hea
 query("speaker_asof_midpoint")(lambda s, d: timeline.apply_reference_speakers(_heard(s, d), _spoken(s, d)).select("clip_id", "ord", "speaker"))
 query("cross_consensus")(lambda s, d: timeline.cross_consensus(_spoken(s, d), {"other": _heard(s, d)}).select("clip_id", "ord", "speaker", "other", "agree"))
 query("vad_coverage", _SPOKEN + """, s AS (SELECT clip_id, start + 0.4 AS s, "end" + 0.4 AS e FROM spoken WHERE ord % 2 = 0 AND "end" - start >= 0.8), u AS (SELECT clip_id, start AS us, "end" AS ue FROM spoken WHERE ord % 4 = 0),
- p AS (SELECT s.clip_id, s, e, coalesce(sum(least(e, ue) - greatest(s, us)), 0.0) AS ov FROM s LEFT JOIN u ON s.clip_id = u.clip_id AND us < e AND ue > s GROUP BY s.clip_id, s, e)
+ p AS (SELECT s.clip_id, s, e, sum(CASE WHEN us IS NULL THEN 0.0 ELSE least(e, ue) - greatest(s, us) END) AS ov FROM s LEFT JOIN u ON s.clip_id = u.clip_id AND us < e AND ue > s GROUP BY s.clip_id, s, e)
  SELECT clip_id, count(*) AS n_segments, count(CASE WHEN ov / (e - s) < 0.5 THEN 1 END) AS n_uncovered, round(100 * sum(least(ov, e - s)) / sum(e - s), 1) AS covered_pct FROM p GROUP BY clip_id""")(
     lambda s, d: timeline.verify_coverage(_heard(s, d).where("ord % 2 = 0"), _spoken(s, d).where("ord % 4 = 0")))
 query("seam_ownership", _SPOKEN + """SELECT clip_id, ord, round(start + (ord % 3) * 50.0, 3) AS start FROM spoken WHERE start < 50.0 AND (ord % 3 = 0 OR start >= 0.5)""")(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the line ends of the text model; one empty piece after the last end is no line.
-LINE_END = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
+LINE_END = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def line_array(text):

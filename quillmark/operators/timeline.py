@@ -71,7 +71,7 @@ def verify_coverage(segments: DataFrame, utterances: DataFrame) -> DataFrame:
     s = segments.where(F.col("end") - F.col("start") >= SHORTEST).select("clip_id", F.col("start").alias("s"), F.col("end").alias("e"))
     u = utterances.where("start IS NOT NULL AND end IS NOT NULL").select("clip_id", F.col("start").alias("us"), F.col("end").alias("ue"))
     hit = s.join(u, (s["clip_id"] == u["clip_id"]) & (u["us"] < s["e"]) & (u["ue"] > s["s"]), "left").drop(u["clip_id"])
-    per = hit.groupBy("clip_id", "s", "e").agg(F.coalesce(F.sum(F.least("e", "ue") - F.greatest("s", "us")), F.lit(0.0)).alias("ov"))
+    per = hit.groupBy("clip_id", "s", "e").agg(F.sum(F.when(F.col("us").isNull(), 0.0).otherwise(F.least("e", "ue") - F.greatest("s", "us"))).alias("ov"))
     long = F.col("e") - F.col("s")
     return per.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("ov") / long < COVERED).alias("n_uncovered"),
                                       F.round(100 * F.sum(F.least("ov", long)) / F.sum(long), 1).alias("covered_pct"))

@@ -129,7 +129,12 @@ def _abbreviations():
     folded = F.create_map(*(F.lit(x) for k, v in _KEYS_CI.items() for x in (k, v)))
     run = r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ỿµ][A-Za-zÀ-ÖØ-öø-ÿĀ-ỿµ.]*"
     hits = F.regexp_extract_all("text", F.lit(java(rf"{run}\d*")), F.lit(0))
-    near = F.regexp_extract_all("text", F.lit(java(rf"(?:\d.{{0,7}}(?<![A-Za-zÀ-ỿµ.]))({run})(?![A-Za-zÀ-ỿµ.\d])|(?<![A-Za-zÀ-ỿµ.])({run})(?=.{{0,7}}\d)")), F.lit(0))
+    edge = "A-Za-zÀ-ÖØ-öø-ÿĀ-ỿµ."
+
+    def near(x):
+        """A digit within eight characters of the run."""
+        word = F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+        return F.regexp_like("text", F.concat(F.lit(rf"\d.{{0,7}}(?<![{edge}])"), word, F.lit(rf"(?![{edge}])"))) | F.regexp_like("text", F.concat(F.lit(f"(?<![{edge}])"), word, F.lit(r".{0,7}\d")))
 
     def name(x):
         letters = F.regexp_replace(x, r"\d+$", "")
@@ -141,7 +146,7 @@ def _abbreviations():
 
     named = F.transform(hits, lambda x: F.struct(x.alias("run"), name(x).alias("name")))
     short = lambda s: F.length(F.replace(s["name"], F.lit("."), F.lit(""))) <= 2
-    kept = F.filter(named, lambda s: s["name"].isNotNull() & (~short(s) | (F.col("lang") == "en") | F.exists(near, lambda y: F.regexp_extract(y, java(rf"{run}$"), 0) == s["run"])))
+    kept = F.filter(named, lambda s: s["name"].isNotNull() & (~short(s) | (F.col("lang") == "en") | near(s["run"])))
     return F.transform(kept, lambda s: s["name"])
 
 
@@ -160,13 +165,13 @@ _JP = r"[぀-ゟ゠-ヿ一-鿿々ー]"
 _SCRIPTS = {"ar": r"[؀-ۿ]", "ur": r"[؀-ۿ]", "hi": r"[ऀ-ॿ]"}
 
 
-def _latin_leak(native: str) -> Scanner:
+def _latin_leak(script: str, native: str) -> Scanner:
     """Latin words in a line that is mostly of another script."""
     def find():
         n, latin = F.regexp_count("text", F.lit(native)), F.regexp_count("text", F.lit("[A-Za-z]"))
         return F.when((n >= 3) & (n > latin), F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)))
 
-    return _s("latin_leak", Rule("latin_leak", "review", find=find, absent=True))
+    return _s(f"latin_leak_{script}", Rule("latin_leak", "review", find=find, absent=True))
 
 
 _TATWEEL = _s("tatweel", _line("tatweel", "minor", lambda: F.col("text").contains("ـ"), lambda: F.lit("ـ"), sql="CASE WHEN contains(text, 'ـ') THEN ['ـ'] END"))
@@ -179,7 +184,7 @@ LANGUAGES = {
     "pt": (_s("portuguese_cedilla", Rule("pt_cedilla", "minor", r".{0,2}ç(?=[eiéíêî]).{0,2}", fold=True, evidence=trim, sql=r"""list_transform(regexp_extract_all(raw, '(?i).{0,2}ç[eiéíêî].?'), lambda x: trim(x))""")),),
     "tr": (_s("turkish_foreign_letters", Rule("tr_foreign_letter", "review", r"\b[\wçğıöşüÇĞİÖŞÜ]*[qwxQWX][\wçğıöşüÇĞİÖŞÜ]*\b", sql=r"""regexp_extract_all(raw, '[\pL\pN_]*[qwxQWX][\pL\pN_]*')""")),),
     "vi": (_s("vietnamese_foreign_letters", Rule("vi_foreign_letter", "review", r"\b[^\W\d_]*[fjwzFJWZ][^\W\d_]*\b", keep=lambda x: F.length(x) >= 2, sql=r"""list_filter(regexp_extract_all(raw, '[\pL\pN_]+'), lambda x: length(x) >= 2 AND regexp_full_match(x, '\pL*[fjwzFJWZ]\pL*'))""")),),
-    "ar": (_TATWEEL, _latin_leak(_SCRIPTS["ar"])), "ur": (_TATWEEL, _latin_leak(_SCRIPTS["ur"])), "hi": (_latin_leak(_SCRIPTS["hi"]),),
+    "ar": (_TATWEEL, _latin_leak("arabic", _SCRIPTS["ar"])), "ur": (_TATWEEL, _latin_leak("arabic", _SCRIPTS["ur"])), "hi": (_latin_leak("devanagari", _SCRIPTS["hi"]),),
     "ru": (_MIXED,), "uk": (_MIXED,),
     "ja": (_s("japanese_punctuation", Rule("ja_punct", "minor", _JP + r"\.", absent=True), Rule("ja_punct", "minor", _JP + ",", absent=True)),),
     "en": (APOSTROPHES,),
