@@ -42,8 +42,9 @@ def once(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def latest_health(health: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """(witness, status, ts): the newest status of each witness, emitted when it changes; a witness silent for idle_ms is forgotten.
+def latest_health(health: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(witness, status, ts): the newest status of each witness, emitted when it changes. State is one pair for each witness of a roster;
+    with idle_ms, a witness that is silent for so long is forgotten.
 
     A late report never replaces a newer one, whatever the order of arrival.
     """
@@ -59,8 +60,9 @@ def latest_health(health: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
                 if best is None or (int(ts), status) > best:
                     best = (int(ts), status)
         state.update(best)
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if was is None or was[1] != best[1]:
             yield pd.DataFrame({"witness": [key[0]], "status": [best[1]], "ts_ns": [best[0]]})
 
-    return health.groupBy("witness").applyInPandasWithState(update, "witness string, status string, ts_ns long", "ts long, status string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return health.groupBy("witness").applyInPandasWithState(update, "witness string, status string, ts_ns long", "ts long, status string", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
