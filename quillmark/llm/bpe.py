@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import table
+from quillmark.llm.common import table, text_batches
 from quillmark.llm.hashing import HashTable
 from quillmark.llm.pieces import PartCache, claim, slices
 
@@ -157,6 +157,7 @@ def codec(path: str, pattern: str) -> Codec:
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
     path = path or public_tokenizers.path(VOCABULARY)
+    text_batches(docs.sparkSession)
 
     def run(batches):
         claim("bpe", codec.cache_clear)

@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch of texts, where the session has the default of ten times as many.
+ARROW_ROWS = 1000
+
+
+def text_batches(spark) -> None:
+    """Smaller Arrow batches for tables of texts: ten thousand long rows would be held twice, by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def freed(spark) -> None:
     """Lets Spark remove the shuffle and checkpoint files that nothing refers to any more; it does so when the driver's garbage is collected."""
     gc.collect()

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, table
+from quillmark.llm.common import cut, table, text_batches
 from quillmark.llm.url_filter import host_path
 
 LEAST = 3
@@ -274,6 +274,7 @@ def main_text(page: str, container: str | None, boiler=()) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text): one row per page."""
+    text_batches(pages.sparkSession)
     found = cut(templates(pages))
     size = found.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("container"), F.lit(0)) + F.length(F.array_join("boiler", " ")) + 64), F.lit(0))).first()[0]
     host, _ = host_path(F.col("url"))

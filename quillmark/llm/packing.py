@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, table
+from quillmark.llm.common import cut, table, text_batches
 from quillmark.llm.pieces import PartCache, claim, slices
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -105,6 +105,7 @@ def encoder(path: str) -> PartCache:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids): every document's ids and the closing id, cut to the capacity."""
     path = path or public_tokenizers.path(VOCABULARY)
+    text_batches(docs.sparkSession)
     close = np.array([end], "<u4").tobytes()
 
     def run(batches):

@@ -34,9 +34,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from quillmark.llm.common import cut, table, text_bytes
+from quillmark.llm.common import cut, table, text_batches, text_bytes
 from quillmark.llm.pieces import claim, release
 
 LENGTH, K = 50, 20
@@ -45,7 +45,7 @@ WIDTH = LENGTH + LEFT
 CHUNK = 2 << 20
 BLOCK = 1 << 17
 #: Bytes of text for each hash bucket and each range of suffixes.
-SHARE = 12 << 20
+SHARE = 8 << 20
 #: Most positions drawn for splitters.
 SAMPLE = 100_000
 LAST = 2**63 - 1
@@ -218,6 +218,7 @@ def _shared(chunks: DataFrame, buckets: int) -> DataFrame:
             at += len(l)
             if len(mine):
                 out.append((chunk, key[0], _squeeze(np.diff(mine, prepend=np.uint32(0)))))
+        release()
         return pd.DataFrame(out, columns=["chunk_id", "bucket", "hashes"])
 
     sent = chunks.select("chunk_id", "data").mapInArrow(send, "bucket int, chunk_id long, low binary, least binary, more binary")
@@ -462,6 +463,7 @@ def _merged(runs: DataFrame) -> DataFrame:
             hit = b > 0
             if hit.any():
                 out.append((chunk, 1, _squeeze(ref[x:x + n][hit]), _squeeze(b[hit]), None, None, None))
+        release()
         return pd.DataFrame(out, columns=["chunk_id", "kind", *"abcde"])
 
     return runs.groupBy("range").applyInPandas(merge, "chunk_id long, kind int, a binary, b binary, c binary, d binary, e binary")
@@ -493,7 +495,9 @@ def _cover(n: int, news: list[dict]) -> np.ndarray:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """docs with _bytes, _spans (array of begin and end in bytes) and _kept (the remaining bytes)."""
+    """docs with _bytes, _spans (array of begin and end in bytes), _kept (the remaining bytes) and _text (what is left of a text that lost
+    bytes, without characters cut in two; else null)."""
+    text_batches(docs.sparkSession)
     size = text_bytes(docs)
     ranges = max(12, min(100_000, size // SHARE))
     chunks = _chunks(docs, min(1.0, SAMPLE / max(1, size)))
@@ -511,24 +515,26 @@ def removed(docs: DataFrame) -> DataFrame:
                 rows, news = _rows(data.as_buffer()), news.as_py()
                 text, start = _bytes(rows)
                 gone = _cover(len(text), news or [])
-                spans, kept = [], []
+                spans, kept, clean = [], [], []
                 for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
                     own = gone[a:b]
                     if own.any():
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
                         spans.append([{"begin": x, "end": y} for x, y in zip(edge[0::2].tolist(), edge[1::2].tolist())])
                         kept.append(text[a:b][~own].tobytes())
+                        clean.append(kept[-1].decode("utf-8", "ignore"))
                     else:
                         spans.append([])
+                        clean.append(None)
                         kept.append(text[a:b].tobytes())
-                extra = [pa.array(np.diff(start), pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
-                for name, col in zip(("_bytes", "_spans", "_kept"), extra):
+                extra = [pa.array(np.diff(start), pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(clean, pa.string())]
+                for name, col in zip(("_bytes", "_spans", "_kept", "_text"), extra):
                     rows = rows.append_column(name, col)
                 yield from rows.to_batches(max_chunksize=500)
         release()
 
     span = StructType([StructField("begin", LongType()), StructField("end", LongType())])
-    schema = StructType([*docs.schema.fields, StructField("_bytes", LongType()), StructField("_spans", ArrayType(span)), StructField("_kept", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField("_bytes", LongType()), StructField("_spans", ArrayType(span)), StructField("_kept", BinaryType()), StructField("_text", StringType())])
     return joined.mapInArrow(finish, schema)
 
 
@@ -536,11 +542,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of their texts; a character that lost some of its bytes goes. All rows stay."""
     names = docs.columns
 
-    @F.pandas_udf("string")
-    def text(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    clean = {"text": F.when(F.size("_spans") > 0, text("_kept")).otherwise(F.col("text"))}
+    clean = {"text": F.when(F.size("_spans") > 0, F.col("_text")).otherwise(F.col("text"))}
     if "n_chars" in names:
         clean["n_chars"] = F.when(F.size("_spans") > 0, F.length(clean["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return removed(docs).select(*(clean.get(c, F.col(f"`{c}`")).alias(c) for c in names))

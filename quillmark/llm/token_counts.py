@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import table
+from quillmark.llm.common import table, text_batches
 from quillmark.llm.hashing import HashTable
 from quillmark.llm.pieces import claim, slices
 
@@ -137,6 +137,7 @@ def automaton(path: str) -> Automaton:
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens): one row per input row."""
     path = path or public_tokenizers.path(VOCABULARY)
+    text_batches(docs.sparkSession)
 
     def run(batches):
         claim("token_counts", automaton.cache_clear)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, table
+from quillmark.llm.common import cut, table, text_batches
 from quillmark.llm.pieces import claim, slices
 
 FIT_ROWS = 10_000
@@ -120,6 +120,7 @@ def _counted(found: list) -> pa.RecordBatch:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple, tuple, tuple | None]:
     """(weights, exception phrases, curve) from the labelled rows that are not held out."""
+    text_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {int(r["toxic"]): r["n"] for r in known.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
