@@ -202,7 +202,7 @@ _NUM = r"list_transform(regexp_extract_all({}, '\d+(?:[.,]\d+)*'), lambda x: CAS
 query("placeholder_survival", _TR + _BAG.format(a=_PH.format("s"), b=_PH.format("t")))(
     lambda s, d: translation.bag_difference(_translations(s, d).select("pair_id", translation.placeholders(F.col("source_text")).alias("a"), translation.placeholders(F.col("translation")).alias("b")), "pair_id", "a", "b").withColumn("n", F.col("n").cast("long")))
 query("digits_bag_diff", _TR + _BAG.format(a=_NUM.format("s"), b=_NUM.format("t")))(lambda s, d: translation.number_survival(_translations(s, d)).withColumn("n", F.col("n").cast("long")))
-query("length_band", _TR + r"""SELECT pair_id, printf('%.2f', round(round(length(regexp_replace(t, '\s', '', 'g')) / length(regexp_replace(s, '\s', '', 'g')), 3), 2)) AS evidence FROM p WHERE length(regexp_replace(s, '\s', '', 'g')) > 0
+query("length_band", _TR + r"""SELECT pair_id, printf('%.2f', floor(round(length(regexp_replace(t, '\s', '', 'g')) / length(regexp_replace(s, '\s', '', 'g')), 3) * 100 + 0.5) / 100) AS evidence FROM p WHERE length(regexp_replace(s, '\s', '', 'g')) > 0
  AND (round(length(regexp_replace(t, '\s', '', 'g')) / length(regexp_replace(s, '\s', '', 'g')), 3) < 0.5 OR round(length(regexp_replace(t, '\s', '', 'g')) / length(regexp_replace(s, '\s', '', 'g')), 3) > 1.9)""")(
     lambda s, d: translation.run_qa(_translations(s, d)).where("kind = 'length_ratio'").select("pair_id", "evidence"))
 query("passthrough_ratio", _TR + r""", w AS (SELECT pair_id, regexp_extract_all(lower(s), '[\pL\pN_]+') AS sw, regexp_extract_all(lower(t), '[\pL\pN_]+') AS tw FROM p WHERE src <> 'en')

@@ -62,7 +62,7 @@ def run_qa(pairs: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     echo = F.when((F.col("src") != F.col("tgt")) & (F.col("ss") == F.col("ts")) & (F.size(sw) > 0) & (kept >= PASSTHROUGH), F.array(F.concat(F.round(100 * kept).cast("int").cast("string"), F.lit("%"))))
     band = F.create_map(*(x for k, (a, b) in BANDS.items() for x in (F.lit(k), F.array(F.lit(a), F.lit(b)))))[F.col("ss")]
     ratio = F.round(span(F.col("t")) / span(F.col("s")), 3)
-    length = F.when((F.col("ts") == "latin") & (span(F.col("s")) > 0) & ((ratio < band[0]) | (ratio > band[1])), F.array(F.format_string("%.2f", ratio)))
+    length = F.when((F.col("ts") == "latin") & (span(F.col("s")) > 0) & ((ratio < band[0]) | (ratio > band[1])), F.array(F.format_string("%.2f", F.floor(ratio * 100 + 0.5) / 100)))
     named = [("source_script_leak", leaks), ("untranslated_passthrough", echo), ("length_ratio", length)]
     flags = p.select("pair_id", F.inline(F.flatten(F.array(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), _kind(k)) for k, c in named)))))
     lost = bag_difference(p.select("pair_id", placeholders(F.col("s")).alias("a"), placeholders(F.col("t")).alias("b")), "pair_id", "a", "b")

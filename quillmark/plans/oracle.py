@@ -1,7 +1,7 @@
 """The SQL that says the same as a scanner, for checks against another engine.
 
-That engine's word classes are ASCII, so letters beyond ASCII are first replaced by x: boundaries then fall where they
-do in Unicode. A rule whose pattern needs lookaround has
+That engine's word classes are ASCII, so letters beyond ASCII are first replaced by an underscore, a word character that is
+no letter: boundaries then fall where they do in Unicode. A rule whose pattern needs lookaround has
 its own SQL, or none; rules for scripts that the tables lack are left out of the SQL, so a hit would show as a difference.
 """
 
@@ -29,7 +29,7 @@ injected AS (SELECT doc_id, lang, source, coalesce(text, '') || chr(10) || ([{',
 parts AS (SELECT doc_id, lang, source, regexp_matches(text, '[。？.?]') AS has_terminal, regexp_split_to_array(text, '{LINE_ENDS}') AS p FROM injected),
 trimmed AS (SELECT doc_id, lang, source, has_terminal, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM parts),
 numbered AS (SELECT doc_id, lang, source, has_terminal, len(list_filter(p, lambda x: regexp_matches(x, '^\\s*(?:\\d+[.)]|[-*•])\\s+\\S'))) AS list_lines, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS raw FROM trimmed),
-lines AS (SELECT doc_id, lang, source, has_terminal, list_lines, n, raw, regexp_replace(raw, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM numbered),
+lines AS (SELECT doc_id, lang, source, has_terminal, list_lines, n, raw, regexp_replace(raw, '[^\\x00-\\x7F]', '_', 'g') AS text FROM numbered),
 bodied AS (SELECT *, regexp_replace(text, '^\\s*[^:]{{1,40}}?:\\s', '') AS body, regexp_replace(text, '^\\s*(?:[A-Z][A-Z .''-]{{0,38}}|Q|A)\\s{{2,}}|^\\s*[^:]{{1,40}}?:\\s', '') AS body_legal FROM lines)
 """
 
@@ -48,7 +48,7 @@ def scanner_sql(scanner: Scanner) -> str | None:
                 hits = hits.replace("text", "raw") if "body" not in hits else hits.replace("rtrim(body)", "rtrim(regexp_replace(raw, '^\\s*[^:]{1,40}?:\\s', ''))")
         else:
             source = {"text": "text", "body": "body", "legal": "body_legal"}[r.scope]
-            beyond = any(ord(c) > 127 for c in r.pattern)
+            beyond = any(ord(c) > 127 for c in r.pattern) or "_" in r.pattern
             if beyond:
                 if r.scope != "text":
                     source = "regexp_replace(raw, '^\\s*[^:]{1,40}?:\\s', '')"
