@@ -75,14 +75,18 @@ for _name, (_f, _q) in _RULES.items():
 query("agent_audit", _T + " UNION ALL ".join(q for _, q in _RULES.values()))(lambda spark, sf_dir: conversation.audit(_conversations(spark, sf_dir), *_facts(spark)))
 
 
-# ---- reads of witnesses, made from the documents' first lines
+# ---- reads of witnesses, made from the benchmark passages
+
+def _passages(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("en").alias("lang"), "text")
+
 
 def _reads(spark, sf_dir):
-    return consensus.synthetic_reads(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+    return consensus.synthetic_reads(_passages(spark, sf_dir))
 
 
 def _read_sql(every: int = 7) -> str:
-    one = "SELECT doc_id AS clip_id, '{n}' AS witness, '{f}' AS family, lang, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_extract(coalesce(text, ''), '^[^\\n]*'), '\\s+'), lambda x: x <> ''), lambda x, i: CASE WHEN (i - 1 + doc_id + {s}) % {e} = 0 THEN substr(x, 1, 1) || 'q' ELSE x END), ' ') AS text FROM documents"
+    one = "SELECT doc_id AS clip_id, '{n}' AS witness, '{f}' AS family, lang, array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''), lambda x, i: CASE WHEN (i - 1 + doc_id + {s}) % {e} = 0 THEN substr(x, 1, 1) || 'q' ELSE x END), ' ') AS text FROM (SELECT item_id AS doc_id, 'en' AS lang, text FROM benchmark)"
     return "WITH reads AS (" + " UNION ALL ".join(one.format(n=n, f=consensus.FAMILIES[n], s=s, e=every + w) for w, (n, s) in enumerate((("scribe", 3), ("gemini", 5), ("whisper", 1), ("hf", 2)))) + r"""),
  clean AS (SELECT *, trim(regexp_replace(text, '[\(\[][^\)\]]{0,40}[\)\]]', ' ', 'g')) AS t FROM reads),
  norm AS (SELECT *, trim(regexp_replace(regexp_replace(lower(t), '[^\pL\pN_\s'']', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM clean WHERE t <> '')
@@ -100,10 +104,10 @@ query("agreement_pct")(lambda s, d: consensus.agreement_pct(_reads(s, d)))
 
 
 @query("gate_status", _read_sql() + """, g AS (SELECT clip_id, count(DISTINCT family) AS families, any_value(clip_id % 13) AS contested FROM norm GROUP BY clip_id)
- SELECT clip_id, CASE WHEN clip_id % 17 = 0 AND lang_ok OR families < 2 OR contested / 50.0 > 0.10 THEN 'review' ELSE 'pass' END AS status, round(contested / 50.0, 3) AS contested_ratio, families FROM g JOIN (SELECT doc_id AS clip_id, lang IN ('en', 'fr', 'de', 'es') AS lang_ok FROM documents) USING (clip_id)""")
+ SELECT clip_id, CASE WHEN clip_id % 17 = 0 AND lang_ok OR families < 2 OR contested / 50.0 > 0.10 THEN 'review' ELSE 'pass' END AS status, round(contested / 50.0, 3) AS contested_ratio, families FROM g JOIN (SELECT doc_id AS clip_id, true AS lang_ok FROM (SELECT item_id AS doc_id FROM benchmark)) USING (clip_id)""")
 def gate_status(spark, sf_dir):
     reads = _reads(spark, sf_dir)
-    clips = documents(spark, sf_dir).select(F.col("doc_id").alias("clip_id"), "lang")
+    clips = _passages(spark, sf_dir).select(F.col("doc_id").alias("clip_id"), "lang")
     decided = clips.select("clip_id", F.lit(50).cast("long").alias("tokens"), (F.col("clip_id") % 13).alias("contested"))
     health = clips.where("clip_id % 17 = 0").select("clip_id", "lang", F.lit("scribe").alias("witness"), F.lit("error").alias("status"))
     return consensus.gate(reads, decided, health).drop("reasons")

@@ -171,9 +171,8 @@ def agreement_pct(reads: DataFrame) -> DataFrame:
 
 
 def synthetic_reads(docs: DataFrame, every: int = 7) -> DataFrame:
-    """Four witnesses' reads of documents' first lines: each alters words that its own rule picks, so that votes have something to do."""
-    line = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0)
-    parts = F.filter(F.split(line, r"\s+"), lambda x: x != "")
+    """Four witnesses' reads of texts: each alters words that its own rule picks, so that votes have something to do."""
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
     out = None
     for w, (name, shift) in enumerate((("scribe", 3), ("gemini", 5), ("whisper", 1), ("hf", 2))):
         alter = F.transform(parts, lambda x, i: F.when((i + F.col("doc_id") + shift) % (every + w) == 0, F.concat(F.substring(x, 1, 1), F.lit("q"))).otherwise(x))
