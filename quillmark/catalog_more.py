@@ -257,7 +257,7 @@ query("name_candidates")(lambda s, d: mining.name_candidates(_lexicon(s, d), s.c
 
 # ---- corrections and the gate before delivery
 
-query("thoth_fixed_text")(lambda s, d: fix.fix(injected(s, d), "legal"))
+query("legal_fixed_text")(lambda s, d: fix.fix(injected(s, d), "legal"))
 query("default_fixed_text")(lambda s, d: fix.fix(injected(s, d), "default"))
 query("clean_verbatim_finish")(lambda s, d: injected(s, d).select("doc_id", fix.finished(fix.normalised_sounds(F.col("text"))).alias("text")))
 query("ship_blockers", _LINES + r""", raws AS (SELECT doc_id, unnest(p) AS raw, unnest(range(1, len(p) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM injected)), b AS (
