@@ -4,11 +4,13 @@
    occurrence vector over the pages of a host is kept as a fingerprint, the sum over pages of mix(page, count), which adds up in
    any order. Counts, text sizes, link text and the least and greatest hash of the text are summed beside it, all of
    them map-side combined, so a host with a third of all pages costs a few rows for each task.
-2. Tokens of a host with equal fingerprints form an equivalence class. Classes that are frequent (on SUPPORT of the host's
-   pages) are valid; those with one occurrence for each page nest by their paths and are the template's skeleton, the
-   others are repeated parts inside it. Tokens in no valid class, or with a varying count, lie in slots.
-3. The slot with the most unlinked text that differs between pages is the article's; its container is the innermost
-   skeleton element around it that is not a block itself. Templates are small rows (host, container, boilerplate paths).
+2. Tokens of a host with equal fingerprints form an equivalence class. Classes of tokens with one occurrence for each of
+   their pages are valid if they nest by their paths, are on LEAST pages and have CLASS tokens (or are on all pages): each is a
+   layout. A page is of the layout with the fewest pages among those whose tokens it has, else of the host's rest.
+3. In a second pass the sums are taken for each layout by itself. Its skeleton are the elements that occur once on each
+   of its pages that has them, on SUPPORT of them at least; the others are repeated parts, or lie in slots. The slot with the
+   most unlinked text that differs between pages is the article's; its container is the innermost skeleton element
+   around it that is not a block itself. Templates are small rows (host, and each layout's container and boilerplate paths).
 4. Each page's blocks inside the container are extracted, without slots that are menus, notices, forms or comments, by the
    element's own meaning or because the host repeats the same text there.
 
@@ -23,8 +25,10 @@ cut-off markup is closed at its parent's or the page's end; repeated rows are pa
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 import zlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +39,8 @@ from quillmark.llm.url_filter import host_path
 
 LEAST = 3
 SUPPORT = 0.5
+#: Least tokens of an equivalence class that makes a layout of some of a host's pages.
+CLASS = 3
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
 #: Most template tokens of a host: those on fewer than this share of its pages are left out before they are gathered.
@@ -136,18 +142,90 @@ def _tokens(page_id: int, page: str):
         yield key, n, _mix(page_id, n), size, linked, digest
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """One row per (host, path) with the sums of its occurrence vector."""
+def _paged(pages: DataFrame) -> DataFrame:
     host, _ = host_path(F.col("url"))
+    return pages.select(F.xxhash64("page_id", "url").alias("row"), host.alias("host"), F.col("html").cast("string").alias("html"))
+
+
+def _with(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """rows with their host's row of found: broadcast if its size is under BROADCAST_BYTES, else over salted hosts."""
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), "host", "left")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+
+
+def _bytes(found: DataFrame, *columns: str) -> int:
+    return found.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))), F.lit(0))).first()[0]
+
+
+def structure(rows: DataFrame) -> DataFrame:
+    """(host, path, pages, n, print): the sums of each token's occurrence vector over its host's pages."""
 
     def run(batches):
         for batch in batches:
             seen: dict[tuple[str, str], list] = {}
             for key, name, page in zip(batch["row"], batch["host"], batch["html"]):
-                for path, n, part, size, linked, digest in [*_tokens(int(key), page or ""), ("", 1, 0, 0, 0, 0)]:
-                    s = seen.get((name, path))
+                count = {"": 1}
+                for path, opens, _, _ in walk(page or ""):
+                    if opens:
+                        path = ">".join(path)
+                        count[path] = count.get(path, 0) + 1
+                for path, n in count.items():
+                    s = seen.setdefault((name, path), [0, 0, 0])
+                    s[0] += 1
+                    s[1] += n
+                    s[2] += _mix(int(key), n) if path else 0
+            yield pd.DataFrame([(h, p, *v) for (h, p), v in seen.items()], columns="host path pages n print".split())
+
+    parts = rows.mapInPandas(run, "host string, path string, pages long, n long, print long")
+    return parts.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "print")))
+
+
+def classes(rows: list[tuple]) -> list[str]:
+    """A path of each layout of one host, from its (path, pages, n, print): those on the fewest pages first."""
+    total = next((r[1] for r in rows if r[0] == ""), 0)
+    once = {r[0]: (r[1], r[3]) for r in rows if r[0] and r[1] == r[2] and r[1] >= LEAST}
+    found: dict[tuple[int, int], list[str]] = {}
+    skeleton = set()
+    for p in sorted(once, key=lambda p: (p.count(">"), p)):  # nested: its parent is in a class too, or it is a root
+        if (">" not in p or p.rpartition(">")[0] in skeleton) and not bad(p.rpartition(">")[2]):
+            skeleton.add(p)
+            found.setdefault(once[p], []).append(p)
+    valid = [(pages, -len(ps), ps[0]) for (pages, _), ps in found.items() if len(ps) >= CLASS or pages == total]
+    return [p for _, _, p in sorted(valid)]
+
+
+def layouts(rows: DataFrame) -> DataFrame:
+    """(host, layouts): the layouts' paths, by lines."""
+    found = cut(structure(rows))
+    total = found.where("path = ''").select("host", F.col("pages").alias("total"))
+    kept = found.join(total, "host").where(F.col("pages") >= F.greatest(F.lit(1.0), RARE * F.col("total")))
+
+    def run(key, rows):
+        return pd.DataFrame([(key[0], "\n".join(classes(list(rows[["path", "pages", "n", "print"]].itertuples(index=False, name=None)))))], columns=["host", "layouts"])
+
+    return kept.groupBy("host").applyInPandas(run, "host string, layouts string")
+
+
+def layout_of(once, paths: list[str]) -> str:
+    """The first of the layouts' paths that a page has."""
+    return next((p for p in paths if p in once), "")
+
+
+def tokens(rows: DataFrame) -> DataFrame:
+    """One row per (host, layout, path) with its sums over the layout's pages."""
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[tuple[str, str, str], list] = {}
+            for key, name, page, known in zip(batch["row"], batch["host"], batch["html"], batch["layouts"]):
+                found = list(_tokens(int(key), page or ""))
+                layout = layout_of({t[0] for t in found}, (known or "").split("\n") if known else [])
+                for path, n, part, size, linked, digest in [*found, ("", 1, 0, 0, 0, 0)]:
+                    s = seen.get((name, layout, path))
                     if s is None:
-                        seen[name, path] = [1, n, part, size, linked, digest, digest]
+                        seen[name, layout, path] = [1, n, part, size, linked, digest, digest]
                     else:
                         s[0] += 1
                         s[1] += n
@@ -155,24 +233,20 @@ def tokens(pages: DataFrame) -> DataFrame:
                         s[3] += size
                         s[4] += linked
                         s[5], s[6] = min(s[5], digest), max(s[6], digest)
-            yield pd.DataFrame([(h, p, *v) for (h, p), v in seen.items()], columns="host path pages n print chars linked low high".split())
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns="host layout path pages n print chars linked low high".split())
 
-    rows = pages.select(F.xxhash64("page_id", "url").alias("row"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    parts = rows.mapInPandas(run, "host string, path string, pages long, n long, print long, chars long, linked long, low long, high long")
-    return parts.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "print", "chars", "linked")), F.min("low").alias("low"), F.max("high").alias("high"))
+    parts = rows.mapInPandas(run, "host string, layout string, path string, pages long, n long, print long, chars long, linked long, low long, high long")
+    return parts.groupBy("host", "layout", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "print", "chars", "linked")), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def deduce(rows: list[tuple]) -> tuple[str | None, list[str]]:
-    """(container path, boilerplate paths) of one host from its (path, pages, n, print, chars, linked, low, high)."""
+    """(container path, boilerplate paths) of one layout from its (path, pages, n, print, chars, linked, low, high)."""
     total = next((r[1] for r in rows if r[0] == ""), 0)
     rows = [r for r in rows if r[0]]
     if total < LEAST:
         return None, []
-    classes: dict[tuple[int, int, int], list[str]] = {}
-    for path, pages, n, vector, *_ in rows:
-        classes.setdefault((pages, n, vector), []).append(path)
-    valid = {p for (pages, n, _), ps in classes.items() if pages >= SUPPORT * total for p in ps}
-    once = {p for (pages, n, _), ps in classes.items() if n == pages and pages >= SUPPORT * total for p in ps}
+    valid = {r[0] for r in rows if r[1] >= SUPPORT * total}
+    once = {r[0] for r in rows if r[1] == r[2] and r[1] >= SUPPORT * total}
     skeleton = set()
     for p in sorted(once, key=lambda p: p.count(">")):  # nested: its parent is in the skeleton, or it is a root
         if ">" not in p or p.rpartition(">")[0] in skeleton:
@@ -201,22 +275,47 @@ def deduce(rows: list[tuple]) -> tuple[str | None, list[str]]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, container, boiler): one row per host."""
-    found = cut(tokens(pages))
-    total = found.where("path = ''").select("host", F.col("pages").alias("total"))
-    kept = found.join(total, "host").where(F.col("pages") >= F.greatest(F.lit(1.0), RARE * F.col("total")))
+    """(host, template): one row per host, with [layout's path, container, boilerplate paths] of each layout as JSON."""
+    rows = _paged(pages)
+    known = cut(layouts(rows))
+    found = cut(tokens(_with(rows, known, _bytes(known, "host", "layouts"))))
+    total = found.where("path = ''").select("host", "layout", F.col("pages").alias("total"))
+    kept = found.join(total, ["host", "layout"]).where(F.col("pages") >= F.greatest(F.lit(1.0), RARE * F.col("total")))
 
     def run(key, rows):
         best, boiler = deduce(list(rows[["path", "pages", "n", "print", "chars", "linked", "low", "high"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(key[0], best, boiler)], columns=["host", "container", "boiler"])
+        return pd.DataFrame([(*key, best, boiler, len(rows))], columns=["host", "layout", "container", "boiler", "n"])
+
+    each = kept.groupBy("host", "layout").applyInPandas(run, "host string, layout string, container string, boiler array<string>, n long")
 
-    return kept.groupBy("host").applyInPandas(run, "host string, container string, boiler array<string>")
+    def joined(key, rows):
+        order = {p: i for i, p in enumerate((rows["layouts"][0] or "").split("\n"))}
+        made = [(p, c, list(b)) for p, c, b in zip(rows["layout"], rows["container"], rows["boiler"])]
+        return pd.DataFrame([(key[0], json.dumps(sorted(made, key=lambda m: order.get(m[0], len(order)) if m[0] else len(order))))], columns=["host", "template"])
+
+    return each.join(known, "host").groupBy("host").applyInPandas(joined, "host string, template string")
+
+
+@lru_cache(maxsize=256)
+def _template(text: str) -> dict[str, tuple]:
+    return {p: (container, frozenset(boiler)) for p, container, boiler in json.loads(text)}
+
+
+def page_text(page: str, template: str | None) -> str:
+    """The main text by the template of the page's layout."""
+    by = [(list(path), text, opens) for path, opens, text, _ in walk(page)]
+    known = _template(template) if template else {}
+    container, boiler = known.get(layout_of({">".join(path) for path, _, opens in by if opens}, [p for p in known if p]), (None, ()))
+    return _blocks(by, container, boiler)
 
 
 def main_text(page: str, container: str | None, boiler=()) -> str:
     """The article's blocks, one for each line. Without a container the elements' meanings decide."""
+    return _blocks([(list(path), text, opens) for path, opens, text, _ in walk(page)], container, boiler)
+
+
+def _blocks(by: list[tuple[list[str], str, bool]], container: str | None, boiler) -> str:
     skip = frozenset(boiler)
-    by: list[tuple[list[str], str, bool]] = [(list(path), text, opens) for path, opens, text, _ in walk(page)]
     if container is not None and not any((k := ">".join(p)) == container or k.startswith(container + ">") for p, _, _ in by):
         container = None  # another layout than the host's
     if container is None:
@@ -276,20 +375,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text): one row per page."""
     text_batches(pages.sparkSession)
     found = cut(templates(pages))
-    size = found.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("container"), F.lit(0)) + F.length(F.array_join("boiler", " ")) + 64), F.lit(0))).first()[0]
-    host, _ = host_path(F.col("url"))
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = pages.select("page_id", "url", F.xxhash64("page_id", "url").alias("row"), F.col("html").cast("string").alias("html"), host_path(F.col("url"))[0].alias("host"))
 
     @F.pandas_udf("string")
-    def text(page: pd.Series, container: pd.Series, boiler: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p or "", c if isinstance(c, str) else None, b if b is not None else ()) for p, c, b in zip(page, container, boiler)], dtype=object)
+    def text(page: pd.Series, template: pd.Series) -> pd.Series:
+        return pd.Series([page_text(p or "", t if isinstance(t, str) else None) for p, t in zip(page, template)], dtype=object)
 
-    return joined.select("page_id", "url", text("html", "container", "boiler").alias("text"))
+    return _with(rows, found, _bytes(found, "host", "template")).select("page_id", "url", text("html", "template").alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -301,6 +301,21 @@ def test_template_deduction():
     assert html_extract.deduce([("", 2, 2, 0, 0, 0, 0, 0)]) == (None, [])
 
 
+def _layouts(spark):
+    """Three layouts, none on half of the host's pages, each with a neutrally named sidebar."""
+    def body(kind, k):
+        art = "".join(f"<p>story {kind} {k} {j} {'w' * 30}</p>" for j in range(3 + k % 3))
+        side = f"<div class='box{kind}'><div class='inner{kind}'><p>also {k} {kind}</p></div></div>"
+        return f"<html><body><div class='wrap{kind}'><div class='top{kind}'><p>Part {k * 7}</p></div><div class='text{kind}'>{art}</div>{side}</div></body></html>"
+    return spark.createDataFrame([(10 * t + k, "http://l.org/x", body("abc"[t], k)) for t in range(3) for k in range(8)], "page_id long, url string, html string")
+
+
+def test_html_layouts(spark):
+    for r in html_extract.extract(_layouts(spark)).collect():
+        assert r["text"].startswith("story") and "also" not in r["text"] and "Part" not in r["text"]
+        assert r["text"].count("story") == 3 + r["page_id"] % 10 % 3
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     clean = [f"c{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
