@@ -4,6 +4,7 @@
    occurrence vector over the pages of a host is kept as a fingerprint, the sum over pages of mix(page, count), which adds up in
    any order. Counts, text sizes, link text and the least and greatest hash of the text are summed beside it, all of
    them map-side combined, so a host with a third of all pages costs a few rows for each task.
+   Tokens on fewer than LEAST pages or RARE of them make no class; in step 3 their text is added to the nearest element that does.
 2. Tokens of a host with equal fingerprints form an equivalence class. Classes of tokens with one occurrence for each of
    their pages are valid if they nest by their paths, are on LEAST pages and have CLASS tokens (or are on all pages): each is a
    layout. A page is of the layout with the fewest pages among those whose tokens it has, else of the host's rest.
@@ -43,8 +44,9 @@ SUPPORT = 0.5
 CLASS = 3
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
-#: Most template tokens of a host: those on fewer than this share of its pages are left out before they are gathered.
-RARE = 0.05
+#: Tokens on fewer than LEAST pages, or than this share of a host's pages, are no template's: their text counts for the nearest
+#: element around them that is. A host has at most 1 / RARE times a page's tokens, so its rows can be gathered.
+RARE = 0.01
 #: Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -120,20 +122,35 @@ def _mix(page: int, n: int) -> int:
     return ((x ^ (x >> 32)) & 0xFFFFFFFFFF) - (1 << 39)  # 40 bits: sums of 2^23 pages stay exact
 
 
-def _tokens(page_id: int, page: str):
-    """(path, count, fingerprint part, text size, linked size, text hash) of each distinct path of a page."""
+def _tokens(page_id: int, page: str, kept: frozenset):
+    """(path, count, fingerprint part, text size, linked size, text hash) of each distinct path of a page that is in kept.
+
+    Text of other paths is in the row 'path>*' of the nearest kept path around it, unless it is in a menu, notice or the like.
+    """
     count: dict[str, int] = {}
     chars: dict[str, list] = {}
     for path, opens, text, linked in walk(page):
         key = ">".join(path)
         if opens:
-            count[key] = count.get(key, 0) + 1
+            if key in kept:
+                count[key] = count.get(key, 0) + 1
             continue
         if not (text := text.strip()):
             continue
         while path and path[-1].partition(".")[0] in INLINE:  # inline elements' text belongs to the block around them
             path = path[:-1]
-        c = chars.setdefault(">".join(path), [0, 0, 0])
+        key = ">".join(path)
+        if key not in kept:
+            if any(bad(x) for x in path):
+                continue
+            while key and key not in kept:
+                path = path[:-1]
+                key = ">".join(path)
+            if not key:
+                continue
+            key += ">*"
+            count[key] = 1
+        c = chars.setdefault(key, [0, 0, 0])
         c[0] += len(text)
         c[1] += len(text) * linked
         c[2] = zlib.crc32(text.encode("utf-8", "replace"), c[2])
@@ -197,15 +214,21 @@ def classes(rows: list[tuple]) -> list[str]:
 
 
 def layouts(rows: DataFrame) -> DataFrame:
-    """(host, layouts): the layouts' paths, by lines."""
+    """(host, layouts, kept): the layouts' paths, and those that no template leaves out, by lines."""
     found = cut(structure(rows))
     total = found.where("path = ''").select("host", F.col("pages").alias("total"))
-    kept = found.join(total, "host").where(F.col("pages") >= F.greatest(F.lit(1.0), RARE * F.col("total")))
+    kept = found.join(total, "host").where((F.col("path") == "") | (F.col("pages") >= F.greatest(F.lit(float(LEAST)), RARE * F.col("total"))))
 
     def run(key, rows):
-        return pd.DataFrame([(key[0], "\n".join(classes(list(rows[["path", "pages", "n", "print"]].itertuples(index=False, name=None)))))], columns=["host", "layouts"])
+        each = list(rows[["path", "pages", "n", "print"]].itertuples(index=False, name=None))
+        return pd.DataFrame([(key[0], "\n".join(classes(each)), "\n".join(sorted(r[0] for r in each if r[0])))], columns=["host", "layouts", "kept"])
+
+    return kept.groupBy("host").applyInPandas(run, "host string, layouts string, kept string")
 
-    return kept.groupBy("host").applyInPandas(run, "host string, layouts string")
+
+@lru_cache(maxsize=256)
+def _lines(text: str) -> frozenset:
+    return frozenset(text.split("\n"))
 
 
 def layout_of(once, paths: list[str]) -> str:
@@ -219,8 +242,8 @@ def tokens(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             seen: dict[tuple[str, str, str], list] = {}
-            for key, name, page, known in zip(batch["row"], batch["host"], batch["html"], batch["layouts"]):
-                found = list(_tokens(int(key), page or ""))
+            for key, name, page, known, kept in zip(batch["row"], batch["host"], batch["html"], batch["layouts"], batch["kept"]):
+                found = list(_tokens(int(key), page or "", _lines(kept or "")))
                 layout = layout_of({t[0] for t in found}, (known or "").split("\n") if known else [])
                 for path, n, part, size, linked, digest in [*found, ("", 1, 0, 0, 0, 0)]:
                     s = seen.get((name, layout, path))
@@ -245,8 +268,8 @@ def deduce(rows: list[tuple]) -> tuple[str | None, list[str]]:
     rows = [r for r in rows if r[0]]
     if total < LEAST:
         return None, []
-    valid = {r[0] for r in rows if r[1] >= SUPPORT * total}
-    once = {r[0] for r in rows if r[1] == r[2] and r[1] >= SUPPORT * total}
+    valid = {r[0] for r in rows if r[1] >= SUPPORT * total and not r[0].endswith(">*")}
+    once = {r[0] for r in rows if r[1] == r[2] and r[1] >= SUPPORT * total and not r[0].endswith(">*")}
     skeleton = set()
     for p in sorted(once, key=lambda p: p.count(">")):  # nested: its parent is in the skeleton, or it is a root
         if ">" not in p or p.rpartition(">")[0] in skeleton:
@@ -278,22 +301,20 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, template): one row per host, with [layout's path, container, boilerplate paths] of each layout as JSON."""
     rows = _paged(pages)
     known = cut(layouts(rows))
-    found = cut(tokens(_with(rows, known, _bytes(known, "host", "layouts"))))
-    total = found.where("path = ''").select("host", "layout", F.col("pages").alias("total"))
-    kept = found.join(total, ["host", "layout"]).where(F.col("pages") >= F.greatest(F.lit(1.0), RARE * F.col("total")))
+    found = tokens(_with(rows, known, _bytes(known, "host", "layouts", "kept")))
 
     def run(key, rows):
         best, boiler = deduce(list(rows[["path", "pages", "n", "print", "chars", "linked", "low", "high"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(*key, best, boiler, len(rows))], columns=["host", "layout", "container", "boiler", "n"])
+        return pd.DataFrame([(*key, best, boiler)], columns=["host", "layout", "container", "boiler"])
 
-    each = kept.groupBy("host", "layout").applyInPandas(run, "host string, layout string, container string, boiler array<string>, n long")
+    each = found.groupBy("host", "layout").applyInPandas(run, "host string, layout string, container string, boiler array<string>")
 
     def joined(key, rows):
         order = {p: i for i, p in enumerate((rows["layouts"][0] or "").split("\n"))}
         made = [(p, c, list(b)) for p, c, b in zip(rows["layout"], rows["container"], rows["boiler"])]
         return pd.DataFrame([(key[0], json.dumps(sorted(made, key=lambda m: order.get(m[0], len(order)) if m[0] else len(order))))], columns=["host", "template"])
 
-    return each.join(known, "host").groupBy("host").applyInPandas(joined, "host string, template string")
+    return each.join(known.select("host", "layouts"), "host").groupBy("host").applyInPandas(joined, "host string, template string")
 
 
 @lru_cache(maxsize=256)

@@ -316,6 +316,14 @@ def test_html_layouts(spark):
         assert r["text"].count("story") == 3 + r["page_id"] % 10 % 3
 
 
+def test_html_rare_paths_keep_their_weight(spark):
+    """An article element with a class of its own on each page, on hosts of more and less than 1 / 0.05 pages."""
+    for n in (20, 21, 60):
+        pages = [(k, "http://r.org/x", f"<html><body><div class='meta'><p>Updated {k} May</p></div><article class='post-{k} post'><p>story {k} {'w' * 60}</p></article></body></html>") for k in range(n)]
+        got = _by(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+        assert all(f"story {k} " in got[k]["text"] for k in range(n)), n
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     clean = [f"c{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
