@@ -12,15 +12,17 @@
    of its pages that has them, on SUPPORT of them at least; the others are repeated parts, or lie in slots. The slot with the
    most unlinked text that differs between pages is the article's; its container is the innermost skeleton element
    around it that is not a block itself. Templates are small rows (host, and each layout's container and boilerplate paths).
-4. Each page's blocks inside the container are extracted, without slots that are menus, notices, forms or comments, by the
-   element's own meaning or because the host repeats the same text there.
+4. Each page's blocks inside the container are extracted, without slots that are menus, notices, forms or comments by the
+   element's own meaning. Where the container is no element of the article's own but the body, slots beside the article's
+   in which all pages repeat the same text go too; nothing else does.
 
 Templates join pages on the host: broadcast if their measured size is under BROADCAST_BYTES, else a shuffled join over
 salted hosts. A host with fewer than LEAST pages has no occurrence vectors to compare; its pages use the elements'
 meanings alone (article, main, else the densest block container).
 
 Defined results: null and empty html have an empty text and 0 characters; a null url belongs to the host ''; unclosed and
-cut-off markup is closed at its parent's or the page's end; repeated rows are pages of their own; other columns are not read.
+cut-off markup is closed at its parent's or the page's end; repeated rows are pages of their own, but templates come from a host's
+different pages, so equal html counts once for them; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, table, text_batches
+from quillmark.llm.common import bounded, cut, table, text_batches
 from quillmark.llm.url_filter import host_path
 
 LEAST = 3
@@ -164,6 +166,15 @@ def _paged(pages: DataFrame) -> DataFrame:
     return pages.select(F.xxhash64("page_id", "url").alias("row"), host.alias("host"), F.col("html").cast("string").alias("html"))
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """rows with equal html of a host once. Only html that is repeated is shuffled, combined map-side; the rest stays where it is."""
+    keyed = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumns({"a": F.xxhash64("html"), "b": F.xxhash64(F.lit(1), "html")})
+    again = bounded(cut(keyed.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("host", "a", "b", F.lit(True).alias("again"))))
+    marked = keyed.join(again, ["host", "a", "b"], "left")
+    copies = cut(marked.where("again").groupBy("host", "a", "b").agg(F.min("row").alias("row"), F.min("html").alias("html")))
+    return marked.where("again IS NULL").select("row", "host", "html").union(copies.select("row", "host", "html"))
+
+
 def _with(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
     """rows with their host's row of found: broadcast if its size is under BROADCAST_BYTES, else over salted hosts."""
     if size <= BROADCAST_BYTES:
@@ -277,16 +288,20 @@ def deduce(rows: list[tuple]) -> tuple[str | None, list[str]]:
     fine = [r for r in rows if not any(bad(x) for x in r[0].split(">"))]
     boiler = [r[0] for r in rows if r[0] in valid and r[4] > 0 and r[6] == r[7] and r[1] > 1]  # the same text on all pages
     slots: dict[str, int] = {}
-    for path, _, _, _, chars, linked, low, high in fine:
-        if chars - linked <= 0 or low == high:
-            continue
+
+    def slot(path):
         around = path.rpartition(">")[0] if path.rpartition(">")[2].partition(".")[0] not in ("article", "main", "body") else path
         while around and around not in skeleton:
             around = around.rpartition(">")[0]
-        if around:
+        return around
+
+    for path, _, _, _, chars, linked, low, high in fine:
+        if chars - linked <= 0 or low == high:
+            continue
+        if around := slot(path):
             slots[around] = slots.get(around, 0) + chars - linked
     if not slots:
-        return None, boiler
+        return None, []
     best = max(slots, key=lambda p: (slots[p], p))
     up = best
     while up:  # an article or main around the slot holds its heading too
@@ -294,12 +309,14 @@ def deduce(rows: list[tuple]) -> tuple[str | None, list[str]]:
             best = up
             break
         up = up.rpartition(">")[0]
-    return best, [p for p in boiler if p.startswith(best + ">")]
+    if best.rpartition(">")[2].partition(".")[0] not in ("html", "body"):  # an element of the article's own
+        return best, []
+    return best, [p for p in boiler if p.startswith(best + ">") and slot(p) != best and not any(x.partition(".")[0] in ("article", "main") for x in p.split(">"))]
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): one row per host, with [layout's path, container, boilerplate paths] of each layout as JSON."""
-    rows = _paged(pages)
+    rows = _different(_paged(pages))
     known = cut(layouts(rows))
     found = tokens(_with(rows, known, _bytes(known, "host", "layouts", "kept")))
 

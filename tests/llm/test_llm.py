@@ -324,6 +324,18 @@ def test_html_rare_paths_keep_their_weight(spark):
         assert all(f"story {k} " in got[k]["text"] for k in range(n)), n
 
 
+def test_html_copies_and_fixed_blocks(spark):
+    one = "<html><body><div class='text'><h2>Fixed head</h2><p>the same story</p></div></body></html>"
+    pages = [(k // 2, "http://c.org/x", one) for k in range(8)]  # copies, and repeated rows
+    pages += [(100 + k, "http://f.org/x", f"<html><body><div class='text'><h2>Fixed head</h2><div class='lead'><p>Same lead</p></div><p>story {k}</p></div></body></html>") for k in range(6)]
+    pages += [(200 + k, "http://b.org/x", f"<html><body><div class='box'><p>Same box</p></div><p>story {k} {'w' * 40}</p></body></html>") for k in range(6)]
+    rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        k = r["page_id"] % 100
+        assert r["text"] == {0: "Fixed head\nthe same story", 1: f"Fixed head\nSame lead\nstory {k}", 2: f"story {k} {'w' * 40}"}[r["page_id"] // 100]
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     clean = [f"c{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
