@@ -6,7 +6,8 @@ in one pass of the automaton; a word counts once, with its largest weight, unles
 sum of weights is normalised by length, and a logistic curve over (log sum, density) turns it into a score.
 
 Fitting reads a bounded sample of labelled rows, about FIT_ROWS of each class chosen by a hash of doc_id, and never a
-held-out row (crc32 of doc_id as text, mod 5, is 0). The lexicon is at most LEXICON entries, so what is sent to the executors is
+held-out row (crc32 of doc_id as text, mod 5, is 0). A sampled row weighs as many rows of its class as it stands for, so a
+score means the same with and without sampling. The lexicon is at most LEXICON entries, so what is sent to the executors is
 bounded. Scoring reads all rows and whole texts, and shuffles nothing.
 
 Defined results: null and empty texts score as the curve does at zero weight; without labels of both classes, or without an
@@ -101,13 +102,13 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Newton steps with a small ridge; rows count by their weight."""
     a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
         ridge = np.diag([1e-6] + [1e-1] * x.shape[1])
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + ridge, a.T @ (weight * (y - p)) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -128,6 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
     draw, full = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), float(1 << 30)
     at = F.when(F.col("toxic") == 1, min(full, full * rows / n[1])).when(F.col("toxic") == 0, min(full, full * rows / n[0]))
     few = known.where(draw < at)  # about 2 * rows at most
+    drawn = {int(r["toxic"]): r["n"] for r in few.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands = [n[k] / drawn.get(k, n[k]) for k in (0, 1)]  # rows of a class that one sampled row stands for
     sample = cut(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"))
 
     def count(batches):
@@ -143,8 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
 
     by = sample.mapInArrow(count, "entry string, toxic int, n long").groupBy("entry").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    top = by.where(F.col("t") >= MIN_DF).where(F.col("t") > 2 * F.col("c")).orderBy(F.desc("t"), "entry").limit(4 * LEXICON + 1).collect()
-    size = next(((r["t"], r["c"]) for r in top if r["entry"] == ""), None) or tuple(by.where("entry = ''").select("t", "c").first() or (0, 0))
+    seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = (seen.get(1, 0), seen.get(0, 0))
+    likely = (F.col("t") + 0.5) * (size[1] + 1) >= float(np.exp(MIN_ODDS - 1e-6)) * (F.col("c") + 0.5) * (size[0] + 1)
+    top = by.where(F.col("t") >= MIN_DF).where((F.col("entry") != "") & likely).orderBy(F.desc("t"), "entry").limit(4 * LEXICON + 1).collect()
     weights = {}
     for r in top:
         odds = float(np.log((r["t"] + 0.5) / (size[0] + 1)) - np.log((r["c"] + 0.5) / (size[1] + 1)))
@@ -166,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
 
     pairs = sample.mapInArrow(phrases, "entry string, toxic int, n long").groupBy("entry").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    spared = tuple(sorted(r["entry"] for r in pairs.where((F.col("c") >= MIN_DF) & (F.col("c") > F.col("t"))).orderBy(F.desc("c"), "entry").limit(EXCEPTIONS).collect()))
+    spared = tuple(sorted(r["entry"] for r in pairs.where((F.col("c") >= MIN_DF) & (F.col("c") * stands[0] > F.col("t") * stands[1])).orderBy(F.desc("c"), "entry").limit(EXCEPTIONS).collect()))
 
     def measure(batches):
         lexicon = _lexicon(fixed, spared, None)
@@ -175,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
             yield pa.RecordBatch.from_arrays([rows.column("toxic"), pa.array([v[0] for v in x]), pa.array([v[1] for v in x])], names=["y", "a", "b"])
 
     seen = sample.mapInArrow(measure, "y int, a double, b double").toPandas()  # three numbers for each fitted row
-    return fixed, spared, _logistic(seen[["a", "b"]].to_numpy(float), seen["y"].to_numpy(float))
+    y = seen["y"].to_numpy(float)
+    return fixed, spared, _logistic(seen[["a", "b"]].to_numpy(float), y, np.where(y == 1, stands[1], stands[0]))
 
 
 def scored(docs: DataFrame, model: tuple) -> DataFrame:

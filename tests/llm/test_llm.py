@@ -361,6 +361,24 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, labs.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_scores_keep_their_meaning_when_sampled(spark):
+    rng = random.Random(4)
+    clean = [f"c{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(1800):
+        toxic = i % 9 == 0
+        w = [rng.choice(clean) for _ in range(30)]
+        if rng.random() < (0.6 if toxic else 0.01):
+            w[5] = rng.choice(("scumbag", "moronic"))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, labs = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for n in (10_000, 120):  # all rows; classes sampled at different rates
+        model = toxicity.fit(docs, labs, n)
+        got = [r["score"] for r in toxicity.scored(docs, model).collect()]
+        assert abs(sum(got) / len(got) - 1 / 9) < 0.05, n
+
+
 def test_toxicity_exceptions_spare_a_phrase():
     lex = toxicity.Lexicon({" trash ": 5.0, " scum": 4.0}, ["trash can"], (-2.0, 1.0, 1.0))
     assert lex.features("the trash can") == (0.0, 0.0) and lex.features("the trash")[0] > 0 and lex.features("scummy")[0] > 0 and lex.features("ascum")[0] == 0
