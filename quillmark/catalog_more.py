@@ -186,10 +186,12 @@ query("smpte_drop_round_trip", "SELECT event_id, event_id * 37 AS frames FROM ev
     lambda s, d: table(s, d, "events").select("event_id", smpte.tc_to_frames(smpte.frame_to_tc_drop(F.col("event_id") * 37), F.lit(30)).alias("frames")))
 
 
-# ---- translations: a document's first line against the next document's, with placeholders and numbers mixed in
+# ---- translations: a document against the next document, with placeholders and numbers mixed in; the queries with SQL read first lines only, as it does
 
-def _translations(spark, sf_dir):
-    line = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0)
+def _translations(spark, sf_dir, whole=False):
+    line = F.coalesce("text", F.lit(""))
+    if not whole:
+        line = F.regexp_extract(line, r"^[^\n]*", 0)
     mark = F.element_at(F.array(*map(F.lit, ("{name} 1,200", "%s 3.5", "[1] 47", "plain"))), (F.col("doc_id") % 4).cast("int") + 1)
     src = documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("src_lang"), F.concat(line, F.lit(" "), mark).alias("source_text"))
     mark2 = F.element_at(F.array(*map(F.lit, ("{name} 1200", "%s 3,5", "47", "plain"))), F.pmod(F.col("doc_id") - 1, F.lit(4)).cast("int") + 1)
@@ -212,8 +214,8 @@ query("length_band", _TR + r"""SELECT pair_id, printf('%.2f', floor(round(length
 query("passthrough_ratio", _TR + r""", w AS (SELECT pair_id, regexp_extract_all(lower(s), '[\pL\pN_]+') AS sw, regexp_extract_all(lower(t), '[\pL\pN_]+') AS tw FROM p WHERE src <> 'en')
  SELECT pair_id FROM w WHERE len(sw) > 0 AND len(list_filter(sw, lambda x: list_contains(tw, x))) / len(sw) >= 0.70""")(
     lambda s, d: translation.run_qa(_translations(s, d)).where("kind = 'untranslated_passthrough'").select("pair_id"))
-query("translation_qa")(lambda s, d: translation.run_qa(_translations(s, d), s.createDataFrame([("en", "en", "the", "die")], "src_lang string, tgt_lang string, term string, rendering string")))
-query("translation_verdicts")(lambda s, d: translation.verdicts(_translations(s, d), translation.run_qa(_translations(s, d))))
+query("translation_qa")(lambda s, d: translation.run_qa(_translations(s, d, whole=True), s.createDataFrame([("en", "en", "the", "die")], "src_lang string, tgt_lang string, term string, rendering string")))
+query("translation_verdicts")(lambda s, d: translation.verdicts(_translations(s, d, whole=True), translation.run_qa(_translations(s, d, whole=True))))
 query("glossary_miss", _TR + r"""SELECT pair_id FROM p WHERE src = 'en' AND regexp_matches(lower(s), '(?:^|[^\pL\pN_])the(?:$|[^\pL\pN_])') AND NOT regexp_matches(lower(t), '(?:^|[^\pL\pN_])and(?:$|[^\pL\pN_])')""")(
     lambda s, d: translation.run_qa(_translations(s, d), s.createDataFrame([("en-US", "en", "the", "and")], "src_lang string, tgt_lang string, term string, rendering string")).where("kind = 'glossary'").select("pair_id"))
 

@@ -178,3 +178,13 @@ def test_conversation_rules(spark):
     dims = spark.createDataFrame([("sunday",)], "day string"), spark.createDataFrame([("adams",)], "name string"), spark.createDataFrame([("fake",)], "name string")
     got = sorted((r["conv_id"], r["turn"], r["rule"]) for r in conversation.audit(c, *dims).collect())
     assert got == [(1, 1, "refill_without_verification"), (1, 2, "played_along_fake_provider"), (1, 3, "dropped_intent"), (2, 0, "closed_day_booking"), (2, 0, "hallucinated_doctor"), (2, 2, "false_transfer"), (3, 1, "repetition"), (3, 2, "stuck_loop"), (3, 3, "fabricated_identity"), (3, 3, "medical_advice")]
+
+
+def test_translation_queries_read_whole_texts(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(0, "first line\nkeep {late} here", "en"), (1, "first line\nnothing here", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["translation_qa"](spark, str(tmp_path)).collect()
+    assert any("{late}" in str(r) for r in got)
+    assert queries()["translation_verdicts"](spark, str(tmp_path)).count() == 1
