@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillmark.session import table  # noqa: F401  (the operators' reader)
@@ -17,17 +19,46 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder, without its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def folder(spark) -> str:
+    """The shared checkpoint folder of the session. Where it is unset, a session of one process makes its own; on a cluster that is an error, as a machine's folder isn't shared."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = path or tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared checkpoint folder, without its lineage."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Rows of thin tables that one task reads at least.
+TASK_ROWS = 50_000
+
+
+class Kept:
+    """A table cut into the shared folder, with its rows and about its bytes, counted as it was written. A small one is read by few tasks."""
+
+    def __init__(self, df: DataFrame, width: Column | int = 48, task_rows: int = TASK_ROWS):
+        seen = Observation()
+        whole = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.lit(width) if isinstance(width, int) else width), F.lit(0)).cast("long").alias("bytes")))
+        self.rows, self.bytes = seen.get["n"], seen.get["bytes"]  # a task that is run again may count twice, so these are no less than the truth
+        self._path = whole._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+        few = max(8, -(-self.rows // task_rows))
+        self.df = whole.coalesce(few) if few < whole.rdd.getNumPartitions() else whole
+
+    def drop(self) -> None:
+        """Deletes the files: nothing may read the table any more."""
+        session = self.df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(self._path)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: Rows of an Arrow batch of texts, where the session has the default of ten times as many.
 ARROW_ROWS = 1000
 
@@ -40,16 +71,14 @@ def text_batches(spark) -> None:
 
 
 def freed(spark) -> None:
-    """Lets Spark remove the shuffle and checkpoint files that nothing refers to any more; it does so when the driver's garbage is collected."""
+    """Lets Spark remove the shuffle files that nothing refers to any more; it does so when the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet into the shared checkpoint folder and read again, so that later reads take only their columns."""
-    sc = df.sparkSession.sparkContext
-    cut(df.sparkSession.range(1))  # sees to the folder
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,38 +88,87 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text_of()).cast("long")), F.lit(0))).first()[0]
 
 
-def merged_labels(edges: DataFrame) -> DataFrame | None:
+#: Most bytes of a table that is broadcast, counted as rows times their width; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Tasks that the rows of one key are dealt to where a table is too large to be broadcast.
+SALTS = 32
+
+
+def spread(rows: DataFrame, found: DataFrame, size: int, on: str, how: str = "inner") -> DataFrame:
+    """rows joined with found, a table of about size bytes: broadcast under the bound, else over salted keys, so that no key's rows meet in one task."""
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), on, how)
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*(c for c, t in rows.dtypes if "<" not in t)), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [on, "_salt"], how).drop("_salt")
+
+
+#: Most edges whose components one task finds; more of them are first contracted by distributed rounds.
+TASK_EDGES = 1_000_000
+
+
+def _least_of(edges: DataFrame) -> DataFrame:
+    """(x, p) for all ends of at most TASK_EDGES edges, in one task."""
+
+    def run(batches):
+        pairs = [b for b in batches if b.num_rows]
+        if not pairs:
+            return
+        a, b = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in pairs]) for i in (0, 1))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, root = at[:len(a)], at[len(a):], np.arange(len(ids))
+        while True:  # each round the larger root of an edge hooks to the smaller, and pointers are jumped to their end
+            ra, rb = root[a], root[b]
+            if (ra == rb).all():
+                break
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["x", "p"])
+
+    return edges.coalesce(1).mapInArrow(run, "x long, p long")
+
+
+def merged_labels(edges: DataFrame) -> Kept | None:
     """(x, p): for every end x of the undirected edges (a, b) of long ids, the least id p that it reaches; None without edges.
 
-    Each round gives every end of an edge the least label around it, jumps pointers twice, and relabels the edges, of which
-    those inside a component go; a chain of n nodes takes O(log n) rounds. Only emptiness tests reach the driver. A hub that holds
-    many edges is aggregated map-side (a minimum), and its label joins spread by Spark's skew handling.
+    While there are more than TASK_EDGES edges, a round gives every end of an edge the least label around it, jumps pointers twice, and
+    relabels the edges, of which those inside a component go. A hub that holds many edges is aggregated map-side (a
+    minimum), and labels are joined over salted ids. The edges that are left, a bounded number, are one task's work. None reach the driver.
     """
-    links = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    links = Kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     moved = None
-    while not links.isEmpty():
-        both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a")))
-        hook = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p"))  # a label is never above its id: a forest
-        for _ in range(2):
-            hook = hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("pp")), "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
-        hook = cut(hook)
+    while links.rows:
+        if links.rows <= TASK_EDGES:
+            hook = Kept(_least_of(links.df))
+        else:
+            both = links.df.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.df.select(F.col("b"), F.col("a")))
+            hook = Kept(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p")))  # a label is never above its id: a forest
+            for _ in range(2):
+                up = spread(hook.df, hook.df.select(F.col("x").alias("p"), F.col("p").alias("pp")), hook.bytes, "p", "left")
+                hook = Kept(up.select("x", F.coalesce("pp", "p").alias("p")))
+        old = links
         if moved is None:
             moved = hook
         else:
-            moved = moved.join(hook.select(F.col("x").alias("p"), F.col("p").alias("pp")), "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
-        at = hook.select(F.col("x").alias("a"), F.col("p").alias("ra"))
-        bt = hook.select(F.col("x").alias("b"), F.col("p").alias("rb"))
-        links = cut(links.join(at, "a").join(bt, "b").where("ra != rb")
-                    .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+            up = spread(moved.df, hook.df.select(F.col("x").alias("p"), F.col("p").alias("pp")), hook.bytes, "p", "left")
+            moved = Kept(up.select("x", F.coalesce("pp", "p").alias("p")))
+        if old.rows <= TASK_EDGES:
+            break
+        one = spread(links.df, hook.df.select(F.col("x").alias("a"), F.col("p").alias("ra")), hook.bytes, "a")
+        two = spread(one, hook.df.select(F.col("x").alias("b"), F.col("p").alias("rb")), hook.bytes, "b")
+        links = Kept(two.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        old.drop()
+    links.drop()
     return moved
 
 
-def relabelled(rows: DataFrame, column: str, moved: DataFrame | None) -> DataFrame:
+def relabelled(rows: DataFrame, column: str, moved: Kept | None) -> DataFrame:
     """rows with the labels in a column replaced by those that they were merged into."""
     if moved is None:
         return rows
-    new = moved.select(F.col("x").alias(column), F.col("p").alias("_p"))
-    return rows.join(new, column, "left").withColumn(column, F.coalesce("_p", column)).drop("_p")
+    new = moved.df.select(F.col("x").alias(column), F.col("p").alias("_p"))
+    return spread(rows, new, moved.bytes, column, "left").withColumn(column, F.coalesce("_p", column)).drop("_p")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,15 +176,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return relabelled(nodes.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("root")), "root", merged_labels(edges)).select("id", "root")
 
 
-#: Most rows of two longs that are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 2_000_000
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """A thin table (already cut), marked for broadcast if its counted rows are under the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def bounded(found: Kept, *columns: str) -> DataFrame:
+    """A table (some of its columns), marked for broadcast if it is under the bound."""
+    df = found.df.select(*columns) if columns else found.df
+    return F.broadcast(df) if found.bytes <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in dropped (doc_id); rows without a doc_id stay. Texts move only if the list is large."""
-    return docs.join(bounded(cut(dropped)), "doc_id", "left_anti")
+    return docs.join(bounded(Kept(dropped, 32)), "doc_id", "left_anti")

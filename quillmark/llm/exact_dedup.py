@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bounded, cut, table, text_of
+from quillmark.llm.common import Kept, bounded, cut, table, text_of
 
 SALTS = 32
 #: Fixed value: the deleted characters.
@@ -66,12 +66,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     while digest in docs.columns:
         digest += "_"
     won = cut(groups(docs))
-    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
-    single = docs.join(bounded(cut(won.where("keep_id IS NOT NULL").select(F.col("keep_id").alias("doc_id")))), "doc_id", "left_semi")
-    if again.isEmpty():
+    again = Kept(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), 32)
+    single = docs.join(bounded(Kept(won.where("keep_id IS NOT NULL").select(F.col("keep_id").alias("doc_id")), 32)), "doc_id", "left_semi")
+    if not again.rows:
         return single
     single = single.join(bounded(again), "doc_id", "left_anti")
-    several = docs.join(F.broadcast(again) if again.count() <= 10_000 else again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").withColumn(digest, F.unhex(F.sha2(normalised(text_of()), 256)))
+    several = docs.join(found := bounded(again), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").withColumn(digest, F.unhex(F.sha2(normalised(text_of()), 256)))
     winners = won.select(F.col("digest").alias(digest), F.col("keep_id"))
     several = several.join(winners, (several[digest] == winners[digest]) & several["doc_id"].eqNullSafe(winners["keep_id"]), "left_semi")
     return single.unionByName(several.dropDuplicates(["doc_id", digest]).drop(digest))

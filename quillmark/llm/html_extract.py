@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bounded, cut, table, text_batches
+from quillmark.llm.common import Kept, bounded, cut, table, text_batches
 from quillmark.llm.url_filter import host_path
 
 LEAST = 3
@@ -169,7 +169,7 @@ def _paged(pages: DataFrame) -> DataFrame:
 def _different(rows: DataFrame) -> DataFrame:
     """rows with equal html of a host once. Only html that is repeated is shuffled, combined map-side; the rest stays where it is."""
     keyed = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumns({"a": F.xxhash64("html"), "b": F.xxhash64(F.lit(1), "html")})
-    again = bounded(cut(keyed.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("host", "a", "b", F.lit(True).alias("again"))))
+    again = bounded(Kept(keyed.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("host", "a", "b", F.lit(True).alias("again")), 96))
     marked = keyed.join(again, ["host", "a", "b"], "left")
     copies = cut(marked.where("again").groupBy("host", "a", "b").agg(F.min("row").alias("row"), F.min("html").alias("html")))
     return marked.where("again IS NULL").select("row", "host", "html").union(copies.select("row", "host", "html"))
