@@ -49,8 +49,9 @@ class Kept:
         whole = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.lit(width) if isinstance(width, int) else width), F.lit(0)).cast("long").alias("bytes")))
         self.rows, self.bytes = seen.get["n"], seen.get["bytes"]  # a task that is run again may count twice, so these are no less than the truth
         self._path = whole._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
-        few = max(8, -(-self.rows // task_rows))
-        self.df = whole.coalesce(few) if few < whole.rdd.getNumPartitions() else whole
+        self.parts = whole.rdd.getNumPartitions()
+        few = max(8, -(-self.rows // task_rows)) if task_rows else self.parts  # 0: its partitions stay as they are
+        self.df = whole.coalesce(few) if few < self.parts else whole
 
     def drop(self) -> None:
         """Deletes the files: nothing may read the table any more."""

@@ -1,50 +1,49 @@
 """Operator 2: bulk-synchronous best-fit packing.
 
-Documents are tokenised and cut into pieces (Python, Arrow batches, a bounded cache of parts); the pieces are thin rows.
-
-1. The pieces are range-sorted by (length, doc_id, piece), cut into the shared checkpoint folder, and counted by
-   (partition, length). As the order is a range order, that is at most (lengths + partitions) rows; their running sums give
-   each piece its rank among the pieces of its length.
-2. Best-fit proceeds in bulk over classes: all pieces of one length against all sequences of one gap (room left). Lengths go
-   from long to short; a sweep finds, for the pieces of a length, the successor class (the least gap that holds them); the
-   pieces with the lowest ranks get the sequences with the lowest numbers; the gaps are updated, and the sweep repeats
-   until the length has no piece left. Where no gap holds a piece, sequences are opened. A class of n sequences is one entry, so
-   the plan depends on the capacity and not on the number of documents: each sweep uses up a class or a length. Its size is
-   checked against a bound, and it is the only thing that is sent to the executors.
-3. Every partition of the sorted pieces looks up its own ranks in the plan. This needs no join and no shuffle.
-
-So the whole costs one shuffle of thin rows. Matching pieces to gaps one by one in distributed rounds would give the same
-classes; it would only need a sort of all gaps and pieces for every round.
+Documents are tokenised and cut into pieces (Python, Arrow batches); the pieces are thin rows. Pieces and gaps (the room left
+in every sequence that is open) are two distributed tables, and packing goes in rounds:
+
+1. The pieces are range-sorted by (length, doc_id, piece) once, the gaps by (gap, sequence) in every round, and cut into the
+   shared checkpoint folder. Each partition counts its rows by size. As the order is a range order, that is at most (sizes +
+   partitions) rows; their running sums give each piece and each gap its rank among those of its size.
+2. The successor sweep goes over the sizes, longest pieces first: the successor of a length is the least gap that holds it.
+   Pieces that want the same gaps are told apart by rank: the pieces with the lowest ranks get the gaps with the lowest ranks,
+   as many pieces a gap as it holds. A gap is taken once in a round. Where neither a free gap nor one that this round has
+   left over holds a piece, sequences are opened. The sweep has an entry for a range of ranks, not for a piece, so a round's
+   entries depend on the capacity and not on the number of documents.
+3. Every partition of gaps looks its ranks up in the sweep's entries, notes what its gaps take, and updates them. Gaps that hold no
+   waiting piece go. A gap that took pieces of a length has less than that length left, so it at least halves: there
+   are few rounds (18 on 0.1 GB). They repeat until no piece waits.
+4. What the gaps took, as (length, rank, sequence, offset), joins the pieces on (length, rank), where every key is one row.
 
 Defined results: null and empty texts are one token (the closing id); texts over the capacity are cut into pieces of the
-capacity, where the first one has the remainder; ties in length go by doc_id and piece; repeated rows are packed each; an empty table
-gives no rows; a null doc_id is packed like any other; other columns are not read.
+capacity, where the first one has the remainder; ties in length go by doc_id and piece (a null doc_id first), rows equal in
+these in any order; repeated rows are packed each; an empty table gives no rows; a null doc_id is packed like any other; an added
+token's string in a text is that token, as the tokenizers library has it; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, table, text_batches
-from quillmark.llm.pieces import PartCache, claim, slices
+from quillmark.llm.common import Kept, cut, table, text_batches
+from quillmark.llm.pieces import claim, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
-#: Most entries of a plan: (capacity) lengths, each with a few classes of gaps.
-MOST_ENTRIES = 2_000_000
+#: Gaps that one task has at least.
+GAPS = 200_000
 
 
 def _ranked(spec: dict):
@@ -69,10 +68,11 @@ def _ranked(spec: dict):
 
 
 @cache
-def encoder(path: str) -> PartCache:
-    """Ids of texts as the tokenizers library has them; parts that are kept are encoded once.
+def encoder(path: str):
+    """A function from texts to their ids, as the tokenizers library has them, little-endian unsigned 32-bit.
 
-    Parts in ASCII go through the same vocabulary by ranks, which is faster; all others go through the library itself.
+    A byte-level vocabulary is applied by ranks, which is faster; texts that hold an added token's string go through the
+    library. That both split texts alike at every code point is tested.
     """
     import os
 
@@ -80,26 +80,15 @@ def encoder(path: str) -> PartCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    ranked = _ranked(json.loads(tokenizer.to_str()))
-
-    def many(texts):
-        out = [b""] * len(texts)
-        other = list(range(len(texts)))
-        if ranked is not None:
-            other = []
-            for i, t in enumerate(texts):
-                if t.isascii():
-                    out[i] = array("I", ranked.encode_ordinary(t)).tobytes()
-                else:
-                    other.append(i)
-        for k in range(0, len(other), 20_000):
-            some = other[k:k + 20_000]
-            for i, x in zip(some, tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
-                out[i] = array("I", x.ids).tobytes()
-        return out
-
-    return PartCache(many)
+    spec = json.loads(tokenizer.to_str())
+    ranked, added = _ranked(spec), [t["content"] for t in spec["added_tokens"]]
+
+    def ids(text: str) -> bytes:
+        if ranked is None or any(t in text for t in added):
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", ranked.encode_ordinary(text)).tobytes()
+
+    return lambda texts: [ids(t) for t in texts]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -113,7 +102,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         e = encoder(path)
         for rows, texts in slices(batches):
             out = []
-            for key, ids in zip(rows.column("doc_id").to_pylist(), e.encode(texts)):
+            for key, ids in zip(rows.column("doc_id").to_pylist(), e(texts)):
                 ids += close
                 n = len(ids) // 4
                 first = n % capacity or capacity
@@ -126,78 +115,162 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit over classes: (length, first rank, how many, first sequence, offset), given the pieces of each length.
+def sweep(waiting: dict[int, int], free: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, list[tuple[int, int, int]]]], int]:
+    """One round: (entries, sequences to open) for the waiting pieces by length and the free gaps by size.
 
-    A class is all sequences with one gap: a heap of runs (first sequence, how many), lowest numbers first.
+    An entry (gap, first, many, runs) says that of the gaps of a size those with ranks first, first + 1 ... take the runs; a run
+    (length, rank, take) is that each of them takes so many pieces of a length, ranks counted on from one gap to the next.
     """
-    classes: dict[int, list[tuple[int, int]]] = {}
-    gaps: list[int] = []  # sorted gaps that have a class
-    out, opened = [], 0
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap not in classes:
-            classes[gap] = []
-            insort(gaps, gap)
-        heapq.heappush(classes[gap], (first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)  # the successor: the least gap that holds the piece
-            if at == len(gaps):
-                fit = capacity // length  # pieces of this length that go into one new sequence
-                n = -(-left // fit)
-                give(capacity, opened, n)
-                opened += n
+    lengths = sorted((n for n in waiting if waiting[n]), reverse=True)
+    left, rank, free = dict(waiting), dict.fromkeys(lengths, 0), dict(free)
+    used, entries, opened, most_left = dict.fromkeys(free, 0), [], 0, 0
+    sizes = sorted(g for g in free if free[g])
+    for i, length in enumerate(lengths):
+        while left[length]:
+            at = bisect_left(sizes, length)  # the successor
+            if at == len(sizes):
+                if most_left >= length:  # a gap that this round has left over: the next round's
+                    break
+                more = -(-left[length] // (capacity // length))
+                opened, free[capacity] = opened + more, free.get(capacity, 0) + more
+                used.setdefault(capacity, 0)
+                sizes.append(capacity)
                 continue
-            gap = gaps[at]
-            first, n = heapq.heappop(classes[gap])
-            if not classes[gap]:
-                del classes[gap], gaps[at]
-            take = min(n, left)
-            out.append((length, rank, take, first, capacity - gap))
-            rank, left = rank + take, left - take
-            if take < n:
-                give(gap, first + take, n - take)
-            if gap > length:
-                give(gap - length, first, take)
-            if len(out) > MOST_ENTRIES:
-                raise ValueError("the plan is larger than its bound")
-    return out
+            gap = sizes[at]
+            fit = gap // length
+            many = min(free[gap] - used[gap], left[length] // fit)
+            runs, room = [], gap
+            if many:
+                runs.append((length, rank[length], fit))
+                room -= fit * length
+            else:  # too few pieces of this length for one gap: it goes on with the next lengths while they fit
+                many = 1
+                for n in lengths[i:]:
+                    take = min(left[n], room // n)
+                    if take:
+                        runs.append((n, rank[n], take))
+                        room -= take * n
+                    if take < left[n]:
+                        break
+            for n, _, take in runs:
+                left[n] -= take * many
+                rank[n] += take * many
+            entries.append((gap, used[gap], many, runs))
+            most_left = max(most_left, room)
+            used[gap] += many
+            if used[gap] == free[gap]:
+                sizes.pop(at)
+    return entries, opened
+
+
+class _Sorted:
+    """A table range-sorted by a size and more columns, where every row can tell its rank among those of its size."""
+
+    def __init__(self, rows: DataFrame, n: int, size: str, *ties: str):
+        self.size = size
+        self.kept = Kept(rows.repartitionByRange(n, size, *ties).sortWithinPartitions(size, *ties).withColumn("part", F.spark_partition_id()), task_rows=0)
+
+        def count(batches):
+            held: dict[int, int] = {}
+            for b in batches:
+                for x, k in zip(*(v.tolist() for v in np.unique(b.column(0).to_numpy(), return_counts=True))):
+                    held[x] = held.get(x, 0) + k
+                if b.num_rows:
+                    part = b.column(1)[0].as_py()
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(held), pa.int32()), pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["part", "size", "n"])
+
+        self.before, self.total = {}, {}
+        for part, x, k in sorted(map(tuple, self.kept.df.select(F.col(size).cast("long"), "part").mapInArrow(count, "part int, size long, n long").collect())):  # sizes + partitions rows at most
+            self.before.setdefault(part, {})[x] = self.total.get(x, 0)
+            self.total[x] = self.total.get(x, 0) + k
+
+    def ranked(self, then, schema: str) -> DataFrame:
+        """then(batch with rank) of every batch."""
+        sc = self.kept.df.sparkSession.sparkContext
+        send, size = sc.broadcast(self.before), self.size
+
+        def run(batches):
+            seen = None
+            for batch in batches:
+                if len(batch):
+                    if seen is None:
+                        seen = dict(send.value[int(batch["part"].iloc[0])])
+                    sizes, inverse, many = np.unique(batch[size].to_numpy(np.int64), return_inverse=True, return_counts=True)
+                    batch["rank"] = batch.groupby(size).cumcount().to_numpy(np.int64) + np.array([seen[x] for x in sizes.tolist()], np.int64)[inverse]
+                    for x, k in zip(sizes.tolist(), many.tolist()):
+                        seen[x] += k
+                    yield then(batch)
+
+        return self.kept.df.mapInPandas(run, schema)
+
+
+def _taking(entries: list, capacity: int):
+    """What a batch of ranked gaps takes: (seq, gap that is left, entry or -1, k-th gap of the entry, offset)."""
+    at = sorted(range(len(entries)), key=lambda e: entries[e][:2])
+    number = np.array(at, np.int64)
+    gap, first, many = (np.array([entries[e][c] for e in at], np.int64) for c in range(3))
+    used = np.array([sum(n * take for n, _, take in entries[e][3]) for e in at], np.int64)
+    key = gap << 44 | first
+
+    def then(batch):
+        g, rank = batch["gap"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
+        i = np.searchsorted(key, g << 44 | rank, side="right") - 1
+        j = np.maximum(i, 0)
+        k = rank - first[j]
+        hit = (i >= 0) & (gap[j] == g) & (k < many[j])
+        return pd.DataFrame({"seq": batch["seq"], "gap": g - np.where(hit, used[j], 0), "entry": np.where(hit, number[j], -1), "k": np.where(hit, k, 0), "offset": capacity - g})
+
+    return then
+
+
+def _given(entries: list):
+    """(length, rank, sequence_id, offset) of every piece that a batch of gaps took."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for e, part in batch.groupby("entry"):
+                seq, k, offset = (part[c].to_numpy(np.int64) for c in ("seq", "k", "offset"))
+                for length, rank, take in entries[int(e)][3]:
+                    step = np.arange(take)
+                    out.append(pd.DataFrame({"length": length, "rank": (rank + k[:, None] * take + step).ravel(), "sequence_id": np.repeat(seq, take), "offset": (offset[:, None] + step * length).ravel()}))
+                    offset = offset + take * length
+            if out:
+                yield pd.concat(out)
+
+    return run
 
 
 def pack(thin: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """thin (doc_id, piece, length and others) with sequence_id and offset."""
+    spark = thin.sparkSession
     thin = cut(thin)
-    n = max(4, thin.rdd.getNumPartitions())
-    ordered = cut(thin.repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece"))
-    counted = ordered.groupBy(F.spark_partition_id().alias("part"), "length").agg(F.count(F.lit(1)).alias("n"))
-    before, total = {}, {}
-    for part, length, k in sorted(tuple(r) for r in counted.collect()):  # lengths + partitions rows at most
-        before[part, length] = total.get(length, 0)
-        total[length] = total.get(length, 0) + k
-    entries = np.array(plan(total, capacity), np.int64).reshape(-1, 5)
-    entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
-    send = thin.sparkSession.sparkContext.broadcast((before, entries))
-
-    def run(batches):
-        ranks, e = send.value
-        part, seen = TaskContext.get().partitionId(), {}
-        key = e[:, 0] << 44 | e[:, 1]
-        for batch in batches:
-            length = batch["length"].to_numpy(np.int64)
-            own = batch.groupby("length").cumcount().to_numpy(np.int64)
-            add = {x: ranks[part, x] + seen.get(x, 0) for x in np.unique(length).tolist()}
-            rank = own + np.array([add[x] for x in length.tolist()], np.int64)
-            for x, k in zip(*np.unique(length, return_counts=True)):
-                seen[int(x)] = seen.get(int(x), 0) + int(k)
-            at = np.searchsorted(key, length << 44 | rank, side="right") - 1
-            batch["sequence_id"], batch["offset"] = e[at, 3] + rank - e[at, 1], e[at, 4]
-            yield batch
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
-    return ordered.mapInPandas(run, kinds + ", sequence_id long, offset long")
+    ordered = _Sorted(thin, max(4, thin.rdd.getNumPartitions()), "length", "doc_id", "piece")
+    waiting, free, gaps, opened, given = dict(ordered.total), {}, None, 0, None
+    while waiting:
+        entries, more = sweep(waiting, free, capacity)
+        fresh = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+        rows = fresh if gaps is None else gaps.where(F.col("gap") >= min(waiting)).union(fresh)
+        opened, free[capacity] = opened + more, free.get(capacity, 0) + more
+        sorted_gaps = _Sorted(rows, max(8, -(-sum(free.values()) // GAPS)), "gap", "seq")
+        taken = sorted_gaps.ranked(_taking(entries, capacity), "seq long, gap long, entry long, k long, offset long")
+        gaps = taken.select("seq", "gap")
+        own = taken.where("entry >= 0").mapInPandas(_given(entries), "length long, rank long, sequence_id long, offset long")
+        given = own if given is None else given.union(own)
+        for gap, _, many, runs in entries:
+            room = gap - sum(n * take for n, _, take in runs)
+            free[gap] -= many
+            free[room] = free.get(room, 0) + many
+            for n, _, take in runs:
+                waiting[n] -= take * many
+        waiting = {n: k for n, k in waiting.items() if k}
+        free = {g: k for g, k in free.items() if k and waiting and g >= min(waiting)}
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in thin.schema.fields)
+    named = ordered.ranked(lambda batch: batch.drop(columns="part"), kinds + ", rank long")
+    if given is None:
+        return named.drop("rank").withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    return named.join(given, ["length", "rank"]).select(*thin.columns, "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

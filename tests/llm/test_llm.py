@@ -73,7 +73,6 @@ def test_packing(docs, none, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path(packing.VOCABULARY))
-    tok.encode_special_tokens = True
     rows = packing.packed(docs).toPandas()
     for i, g in rows.sort_values("piece").groupby("doc_id"):
         ids, at = tok.encode(texts[i] or "", add_special_tokens=False).ids + [0], 0
@@ -85,23 +84,73 @@ def test_packing(docs, none, texts):
     assert set(rows.doc_id) == set(texts)
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == np.concatenate([[0], g.length.cumsum()[:-1]]).tolist() and g.length.sum() <= 2048
-    assert rows.sequence_id.nunique() == -(-rows.length.sum() // 2048)
+    assert rows.sequence_id.nunique() <= -(-rows.length.sum() // 2048) + 1
     assert packing.packed(none).count() == 0
+    assert packing.packed(none).columns == packing.packed(docs).columns
 
 
-def test_packing_plan_is_best_fit_decreasing():
+def test_packing_of_repeated_rows_ties_and_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a <|endoftext|>", "é<|endoftext|> é", "<|endoftext", "same length", "same lengths"] * 3
+    rows = [(i % 5 if i % 4 else None, t, 7, 8) for i, t in enumerate(texts)] + [(9, None, 1, 2)] * 4 + [(9, "w " * 5000, 1, 2)] * 2
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, rank int, sequence_id int")).toPandas()
+    want = []
+    for i, t, _, _ in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        first = len(ids) % 2048 or 2048
+        for k, at in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[at:at + (first if k == 0 else 2048)]
+            want.append((-1 if i is None else i, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted(want) == sorted((-1 if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples())
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == np.concatenate([[0], g.length.cumsum()[:-1]]).tolist() and g.length.sum() <= 2048
+
+
+def test_packing_splits_as_the_library_at_every_code_point():
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(P.path(packing.VOCABULARY)), packing.encoder(P.path(packing.VOCABULARY))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        some = [f"a{c}b 1{c}2 {c}{c} '{c}s\n{c} {c}x  {c}" for c in points[k:k + 50_000]]
+        for x, e, ids in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), encode(some)):
+            assert np.array(e.ids, "<u4").tobytes() == ids, x
+
+
+def _rounds(lengths, capacity):
+    """The sweeps' rounds one gap at a time: {sequence: pieces}, rounds."""
+    waiting, held, rounds = {n: lengths.count(n) for n in set(lengths)}, [], 0
+    while waiting:
+        free = {}
+        for h in held:
+            free[capacity - sum(h)] = free.get(capacity - sum(h), 0) + 1
+        free.pop(0, None)
+        entries, more = packing.sweep(waiting, free, capacity)
+        held += [[] for _ in range(more)]
+        by = {}
+        for h in held:
+            by.setdefault(capacity - sum(h), []).append(h)
+        seen = set()
+        for gap, first, many, runs in entries:
+            for k in range(first, first + many):
+                assert (gap, k) not in seen
+                seen.add((gap, k))
+                by[gap][k] += [n for n, _, take in runs for _ in range(take)]
+            for n, _, take in runs:
+                waiting[n] -= take * many
+        waiting = {n: k for n, k in waiting.items() if k}
+        rounds += 1
+    return held, rounds
+
+
+def test_packing_rounds_are_as_good_as_best_fit_decreasing():
     rng = random.Random(2)
-    for _ in range(20):
-        lengths = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 400))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        fill, seen = {}, {n: 0 for n in counts}
-        for length, rank, many, first, offset in packing.plan(counts, 100):
-            assert rank == seen[length]
-            seen[length] += many
-            for s in range(first, first + many):
-                assert fill.get(s, 0) == offset
-                fill[s] = offset + length
-        assert seen == counts and max(fill.values()) <= 100
+    for top in (100, 100, 60, 30, 12) * 4:
+        lengths = [rng.randrange(1, top + 1) for _ in range(rng.randrange(1, 400))]
+        held, rounds = _rounds(lengths, 100)
+        assert sorted(n for h in held for n in h) == sorted(lengths) and all(0 < sum(h) <= 100 for h in held)
         gaps = []  # one by one
         for n in sorted(lengths, reverse=True):
             fits = [g for g in gaps if g >= n]
@@ -110,7 +159,7 @@ def test_packing_plan_is_best_fit_decreasing():
                 gaps.append(min(fits) - n)
             else:
                 gaps.append(100 - n)
-        assert len(fill) == len(gaps)
+        assert len(held) <= len(gaps) * 1.03 + 1 and rounds <= 20
 
 
 def _shingles(t):
