@@ -13,7 +13,7 @@ in every sequence that is open) are two distributed tables, and packing goes in
    entries depend on the capacity and not on the number of documents.
 3. Every partition of gaps looks its ranks up in the sweep's entries, notes what its gaps take, and updates them. Gaps that hold no
    waiting piece go. A gap that took pieces of a length has less than that length left, so it at least halves: there
-   are few rounds (18 on 0.1 GB). They repeat until no piece waits.
+   are few rounds (28 on 0.5 GB). They repeat until no piece waits.
 4. What the gaps took, as (length, rank, sequence, offset), joins the pieces on (length, rank), where every key is one row.
 
 Defined results: null and empty texts are one token (the closing id); texts over the capacity are cut into pieces of the
@@ -42,8 +42,8 @@ from quillmark.llm.pieces import claim, slices
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
-#: Gaps that one task has at least.
-GAPS = 200_000
+#: Gaps of one task where there are many, and least gaps of one where there are few.
+GAPS, FEW_GAPS = 200_000, 20_000
 
 
 def _ranked(spec: dict):
@@ -253,7 +253,8 @@ def pack(thin: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         fresh = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
         rows = fresh if gaps is None else gaps.where(F.col("gap") >= min(waiting)).union(fresh)
         opened, free[capacity] = opened + more, free.get(capacity, 0) + more
-        sorted_gaps = _Sorted(rows, max(8, -(-sum(free.values()) // GAPS)), "gap", "seq")
+        n = sum(free.values())
+        sorted_gaps = _Sorted(rows, max(min(8, -(-n // FEW_GAPS)), -(-n // GAPS)), "gap", "seq")
         taken = sorted_gaps.ranked(_taking(entries, capacity), "seq long, gap long, entry long, k long, offset long")
         gaps = taken.select("seq", "gap")
         own = taken.where("entry >= 0").mapInPandas(_given(entries), "length long, rank long, sequence_id long, offset long")

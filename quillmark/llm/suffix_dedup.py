@@ -12,17 +12,20 @@ have their anchors at equal places, so every repeated window is seen from an anc
    bytes before it. Equal keys of a chunk are combined (all but the least doc_id are covered by it, which needs no
    exchange). The sorted runs are front-coded (length of the prefix shared with the key before, and the rest), cut at range
    splitters and exchanged.
+   A range of more than SHARE bytes of text is split by the anchors' hashes: equal K bytes stay together, and each part of a
+   sorted run is sorted. So neither the number of tasks nor a task's share is bounded by the splitters.
 4. Each range merges its runs with a loser tree over (key, known common prefix with the last winner): keys whose known
    prefixes differ are ordered by these alone, others are compared from the known prefix on. The merge yields the
    common-prefix lengths of neighbours, and from them, for each of the LENGTH - K + 1 windows around an anchor, the
    groups of equal windows and their least doc_id. A key's answer is one bit per window.
 5. Chunks turn the bits into covered bytes.
 
-Splitters come from a bounded sample; they only place the cuts.
+Splitters come from a bounded sample (about SAMPLE strings of K bytes reach the driver); they only place the cuts.
 
 Defined results: null and empty texts have 0 bytes and nothing removed; texts under LENGTH bytes lose nothing; very long
 texts are handled in blocks; rows that repeat a doc_id never remove from each other, but lose what a smaller doc_id has; a
-null doc_id counts as the greatest; an empty table gives no rows; other columns are carried along untouched.
+null doc_id counts as the greatest; ties can't arise, as only a smaller doc_id takes bytes away; an empty table gives no rows; other
+columns are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,8 +49,8 @@ CHUNK = 2 << 20
 BLOCK = 1 << 17
 #: Bytes of text for each hash bucket and each range of suffixes.
 SHARE = 8 << 20
-#: Most positions drawn for splitters.
-SAMPLE = 100_000
+#: Positions drawn for splitters, and most splitters; ranges are split by hashes beyond.
+SAMPLE, SPLITTERS = 100_000, 10_000
 LAST = 2**63 - 1
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
 _BASE = 0xD1B54A32D192ED03
@@ -258,9 +261,9 @@ def _common(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(chunks: DataFrame, shared: DataFrame, buckets: int, splitters: list[bytes]) -> DataFrame:
-    """(range, chunk_id, run): front-coded runs; a negative range holds what a chunk knows by itself."""
-    ranges = len(splitters) + 1
+def _runs(chunks: DataFrame, shared: DataFrame, buckets: int, splitters: list[bytes], parts: int = 1) -> DataFrame:
+    """(range, chunk_id, run): front-coded runs, each range in so many parts; a negative range holds what a chunk knows by itself."""
+    ranges = (len(splitters) + 1) * parts
     heard = shared.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "hashes")).alias("heard"))  # one row per bucket at most
     joined = chunks.select("chunk_id", "data").join(heard, "chunk_id")
 
@@ -275,28 +278,29 @@ def _runs(chunks: DataFrame, shared: DataFrame, buckets: int, splitters: list[by
                 known = np.sort(np.concatenate([np.int64(x["bucket"]) << 32 | np.cumsum(_swell(x["hashes"], np.uint32), dtype=np.uint32).astype(np.int64) for x in heard]))
                 mine = bucket << 32 | h.astype(np.uint32).astype(np.int64)
                 place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                at = at[known[place] == mine]
+                at, h = at[known[place] == mine], h[known[place] == mine]
                 if not len(at):
                     continue
                 keys, right, left = _keys(text, start, at)
                 doc = _ids(rows)[np.searchsorted(start, at, side="right") - 1]
+                part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 order = _sorted(keys, right, left, doc, at)
-                keys, right, left, doc, at = keys[order], right[order], left[order], doc[order], at[order]
+                keys, right, left, doc, at, part = keys[order], right[order], left[order], doc[order], at[order], part[order]
                 new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1) | (right[1:] != right[:-1]) | (left[1:] != left[:-1])])
                 first = np.flatnonzero(new)
                 group = np.cumsum(new) - 1
-                own = doc == doc[first][group]  # rows of the least doc_id wait for the merge; the others are covered by it
-                local = (_squeeze(at[~own].astype(np.uint32)), _squeeze(right[~own]), _squeeze(left[~own]), _squeeze(at[own].astype(np.uint32)), _squeeze(group[own].astype(np.uint32)))
+                wait = doc == doc[first][group]  # rows of the least doc_id wait for the merge; the others are covered by it
+                local = (_squeeze(at[~wait].astype(np.uint32)), _squeeze(right[~wait]), _squeeze(left[~wait]), _squeeze(at[wait].astype(np.uint32)), _squeeze(group[wait].astype(np.uint32)))
                 out = [(-1 - chunk % ranges, chunk, *local)]
-                keys, right, left, doc = keys[first], right[first], left[first], doc[first]
-                common = _common(keys)
-                goes = np.searchsorted(edges, np.ascontiguousarray(keys[:, :K]).view(f"S{K}").ravel(), side="right")
-                cuts = np.flatnonzero(np.concatenate([[True], goes[1:] != goes[:-1], [True]]))
+                keys, right, left, doc, part = keys[first], right[first], left[first], doc[first], part[first]
+                goes = np.searchsorted(edges, np.ascontiguousarray(keys[:, :K]).view(f"S{K}").ravel(), side="right") * parts + part
+                dealt = np.argsort(goes, kind="stable")  # a range's part keeps the order
+                cuts = np.flatnonzero(np.concatenate([[True], goes[dealt][1:] != goes[dealt][:-1], [True]]))
                 for x, y in zip(cuts[:-1], cuts[1:]):
-                    c = common[x:y].copy()
-                    c[0] = 0
-                    rest = keys[x:y][np.arange(WIDTH) >= c[:, None]]
-                    out.append((int(goes[x]), chunk, _squeeze(c), zstandard.ZstdCompressor(level=6).compress(rest.tobytes()), _squeeze(np.stack([right[x:y], left[x:y]], axis=1).ravel()), _squeeze(doc[x:y]), _squeeze(np.arange(x, y, dtype=np.uint32))))
+                    own = dealt[x:y]
+                    c = _common(keys[own])
+                    rest = keys[own][np.arange(WIDTH) >= c[:, None]]
+                    out.append((int(goes[own[0]]), chunk, _squeeze(c), zstandard.ZstdCompressor(level=6).compress(rest.tobytes()), _squeeze(np.stack([right[own], left[own]], axis=1).ravel()), _squeeze(doc[own]), _squeeze(own.astype(np.uint32))))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["range", "chunk_id", "a", "b", "c", "d", "e"])
         release()
@@ -494,18 +498,27 @@ def _cover(n: int, news: list[dict]) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
+def _helpers(docs: DataFrame) -> list[str]:
+    """Names of the columns that removed() adds: _bytes, _spans, _kept and _text, or with more underscores where docs has one of them."""
+    taken, mark = {c.lower() for c in docs.columns}, "_"
+    while any(f"{mark}{n}" in taken for n in ("bytes", "spans", "kept", "text")):
+        mark += "_"
+    return [f"{mark}{n}" for n in ("bytes", "spans", "kept", "text")]
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """docs with _bytes, _spans (array of begin and end in bytes), _kept (the remaining bytes) and _text (what is left of a text that lost
-    bytes, without characters cut in two; else null)."""
+    bytes, without characters cut in two; else null); see _helpers() for docs with columns of these names."""
     text_batches(docs.sparkSession)
+    names = _helpers(docs)
     size = text_bytes(docs)
-    ranges = max(12, min(100_000, size // SHARE))
-    chunks = _chunks(docs, min(1.0, SAMPLE / max(1, size)))
-    chunks = cut(chunks)
-    drawn = [s[i:i + K] for r in chunks.select("sample").collect() for s in [bytes(r["sample"])] for i in range(0, len(s), K)]  # about SAMPLE strings
-    drawn = sorted({s for s in drawn if not s.endswith(b"\0")})
+    tasks = max(12, size // SHARE)
+    ranges = min(tasks, SPLITTERS)
+    chunks = cut(_chunks(docs, min(1.0, SAMPLE / max(1, size))))
+    rows = chunks.where(F.octet_length("sample") > 0).select("sample").collect()  # about SAMPLE strings at most
+    drawn = sorted({s for r in rows for i in range(0, len(r["sample"]), K) if not (s := bytes(r["sample"][i:i + K])).endswith(b"\0")})
     splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
-    merged = _merged(_runs(chunks, _shared(chunks, ranges), ranges, splitters))
+    merged = _merged(_runs(chunks, _shared(chunks, tasks), tasks, splitters, -(-tasks // ranges)))
     news = merged.groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "a", "b", "c", "d", "e")).alias("news"))  # a row per range at most
     joined = chunks.select("chunk_id", "data").join(news, "chunk_id", "left").select("data", "news")
 
@@ -528,24 +541,24 @@ def removed(docs: DataFrame) -> DataFrame:
                         clean.append(None)
                         kept.append(text[a:b].tobytes())
                 extra = [pa.array(np.diff(start), pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(clean, pa.string())]
-                for name, col in zip(("_bytes", "_spans", "_kept", "_text"), extra):
+                for name, col in zip(names, extra):
                     rows = rows.append_column(name, col)
                 yield from rows.to_batches(max_chunksize=500)
         release()
 
     span = StructType([StructField("begin", LongType()), StructField("end", LongType())])
-    schema = StructType([*docs.schema.fields, StructField("_bytes", LongType()), StructField("_spans", ArrayType(span)), StructField("_kept", BinaryType()), StructField("_text", StringType())])
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, (LongType(), ArrayType(span), BinaryType(), StringType())))])
     return joined.mapInArrow(finish, schema)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of their texts; a character that lost some of its bytes goes. All rows stay."""
-    names = docs.columns
-
-    clean = {"text": F.when(F.size("_spans") > 0, F.col("_text")).otherwise(F.col("text"))}
-    if "n_chars" in names:
-        clean["n_chars"] = F.when(F.size("_spans") > 0, F.length(clean["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return removed(docs).select(*(clean.get(c, F.col(f"`{c}`")).alias(c) for c in names))
+    _, spans, _, text = _helpers(docs)
+    lost = F.size(f"`{spans}`") > 0
+    clean = {"text": F.when(lost, F.col(f"`{text}`")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        clean["n_chars"] = F.when(lost, F.length(clean["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return removed(docs).select(*(clean.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 
 from quillmark.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _kept string, _spans int, _digest string, id int, key string, part int, rank int, comp int"
 
 
 def _texts():
@@ -37,7 +37,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark, texts):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash") for i, t in texts.items()], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 1, "clash", 2, "clash", 3, 4, 5) for i, t in texts.items()], SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -223,20 +223,63 @@ def test_hyperminhash_estimate():
         assert abs(got[0] - share) < 0.16 and used[0] > 100
 
 
-def test_suffix_dedup(docs, none, texts):
-    seen, got = {}, _by(suffix_dedup.removed(docs.drop("_kept")))
-    for i in sorted(texts):
-        b = (texts[i] or "").encode()
+def _removed_by_hand(rows):
+    """[(bytes left, bytes removed)] of rows (doc_id, text); a null doc_id is the greatest."""
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first[b[k:k + 50]] = min(first.get(b[k:k + 50], 2**63), 2**63 - 1 if i is None else i)
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 49):
-            if seen.setdefault(b[k:k + 50], i) < i:
+            if first[b[k:k + 50]] < (2**63 - 1 if i is None else i):
                 gone[k:k + 50] = True
-        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        assert bytes(got[i]["_kept"]) == kept and got[i]["_bytes"] == len(b)
-        spans = [(s["begin"], s["end"]) for s in got[i]["_spans"]]
-        assert sum(e - a for a, e in spans) == int(gone.sum()) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
-    assert suffix_dedup.removed(none.drop("_kept")).count() == 0
-    assert suffix_dedup.keep_first(docs.drop("_kept")).columns == docs.drop("_kept").columns
+        out.append((np.frombuffer(b, np.uint8)[~gone].tobytes(), gone))
+    return out
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_suffix_dedup(docs, none, texts, split, monkeypatch):
+    if split:  # ranges in parts, texts across small chunks
+        monkeypatch.setattr(suffix_dedup, "SPLITTERS", 3)
+        monkeypatch.setattr(suffix_dedup, "SHARE", 2000)
+        monkeypatch.setattr(suffix_dedup, "CHUNK", 3000)
+    size, spans, kept, _ = suffix_dedup._helpers(docs)
+    assert kept == "__kept" and spans == "__spans"
+    got = _by(suffix_dedup.removed(docs))
+    for i, (left, gone) in zip(texts, _removed_by_hand(texts.items())):
+        assert bytes(got[i][kept]) == left and got[i][size] == len(gone) and got[i]["_kept"] == "clash"
+        found = [(s["begin"], s["end"]) for s in got[i][spans]]
+        assert sum(e - a for a, e in found) == int(gone.sum()) and all(x[1] < y[0] for x, y in zip(found, found[1:]))
+    assert suffix_dedup.removed(none).count() == 0
+    clean = suffix_dedup.keep_first(docs)
+    assert clean.columns == docs.columns
+    for r in clean.collect():
+        assert r["text"] == (bytes(got[r["doc_id"]][kept]).decode("utf-8", "ignore") if got[r["doc_id"]][spans] else texts[r["doc_id"]])
+
+
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    rng = random.Random(12)
+    part = ["".join(rng.choice("abcdefgh é") for _ in range(70)) for _ in range(6)]
+    rows = [(rng.choice([None, 1, 2, 3, 3]), "".join(rng.sample(part, rng.randrange(0, 4)))) for _ in range(40)] + [(4, None), (None, ""), (5, part[0] * 3)]
+    rows = [(*r, k) for k, r in enumerate(rows)]
+    got = _by(suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(4)), "row")
+    for (i, _, k), (left, _) in zip(rows, _removed_by_hand([r[:2] for r in rows])):
+        assert bytes(got[k]["_kept"]) == left, (i, k)
+
+
+def test_suffix_dedup_across_blocks(spark):
+    """Texts of more than a block and a chunk, alike in the middle."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = word(suffix_dedup.BLOCK * 2)
+    rows = [(1, word(1000) + shared), (2, shared[5000:] + word(700) + shared[: suffix_dedup.BLOCK]), (3, word(suffix_dedup.CHUNK)), (4, shared[-60:])]
+    got = _by(suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+    for (i, _), (left, _) in zip(rows, _removed_by_hand(rows)):
+        assert bytes(got[i]["_kept"]) == left
 
 
 def test_loser_tree():
@@ -269,6 +312,17 @@ def test_exact_dedup(docs, none, texts):
     assert {r["doc_id"] for r in exact_dedup.keep_first(docs).collect()} == set(keep.values())
 
 
+def test_exact_dedup_beyond_the_bound(spark, docs, texts, monkeypatch):
+    """Winners that are too large to be broadcast, with hot groups apart, and texts that share a digest."""
+    want = sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()))
+    monkeypatch.setattr(exact_dedup.common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect())) == want
+    real = exact_dedup.F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: real(exact_dedup.F.substring(c, 1, 2), n))
+    assert sorted(tuple(r)[:4] for r in exact_dedup.exact_dedup(docs).collect()) == [w[:4] for w in want]
+
+
 def test_exact_dedup_of_repeated_and_missing_ids(spark):
     rows = [(1, "a"), (1, "a"), (2, " a"), (2, "b"), (None, "c"), (None, "c"), (-5, "d"), (3, "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -437,7 +491,7 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
     """The stages' rows against the operators' own brute force, composed."""
     import corpus_pipeline
 
-    full = docs.drop("_kept")
+    full = docs
     full.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 0, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "suffix dedup", "packing"]
