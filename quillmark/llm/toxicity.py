@@ -7,12 +7,15 @@ sum of weights is normalised by length, and a logistic curve over (log sum, dens
 
 Fitting reads a bounded sample of labelled rows, about FIT_ROWS of each class chosen by a hash of doc_id, and never a
 held-out row (crc32 of doc_id as text, mod 5, is 0). A sampled row weighs as many rows of its class as it stands for, so a
-score means the same with and without sampling. The lexicon is at most LEXICON entries, so what is sent to the executors is
-bounded. Scoring reads all rows and whole texts, and shuffles nothing.
-
-Defined results: null and empty texts score as the curve does at zero weight; without labels of both classes, or without an
-entry, every score is 0.0; of labels that repeat a doc_id the largest counts, null labels don't count; a null doc_id is not
-held out and never fitted; repeated rows are scored each; columns other than doc_id and text are not read.
+score means the same with and without sampling. The lexicon and its exceptions are all entries and phrases of that sample that
+pass MIN_DF and the odds, so what is sent to the executors is bounded by the sample alone. Scoring reads all rows and whole texts,
+and shuffles nothing.
+
+Defined results: null and empty texts score as the curve does at zero weight; very long texts are matched whole, in time linear in
+their length; without labels of both classes, or without an entry, every score is 0.0; of labels that repeat a doc_id the
+largest counts, null labels don't count; a null doc_id is not held out and never fitted; repeated rows are scored each;
+entries of equal weight at one place count once; empty tables of documents give no rows, empty labels scores of 0.0; columns
+other than doc_id and text are not read by the query, and carried along by reject().
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ from quillmark.llm.common import cut, table, text_batches
 from quillmark.llm.pieces import claim, slices
 
 FIT_ROWS = 10_000
-LEXICON = 5_000
-EXCEPTIONS = 1_000
 #: Least document frequency among toxic rows, and least log odds, of an entry.
 MIN_DF, MIN_ODDS = 4, 3.0
 PREFIXES = (4, 5, 6)
@@ -80,10 +81,14 @@ class Lexicon:
                 spared.append((at, end))
             elif w > best.get(at, 0.0):
                 best[at] = w
-        for a, b in spared:
-            for at in [x for x in best if a <= x < b]:
-                del best[at]
-        total = sum(best.values())
+        total, until, k = 0.0, -1, 0
+        spared.sort()
+        for at in sorted(best):  # the phrases that begin at or before a match reach to until
+            while k < len(spared) and spared[k][0] <= at:
+                until = max(until, spared[k][1])
+                k += 1
+            if at >= until:
+                total += best[at]
         return float(np.log1p(total)), total / (len(words) + SMOOTH)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -149,11 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = (seen.get(1, 0), seen.get(0, 0))
     likely = (F.col("t") + 0.5) * (size[1] + 1) >= float(np.exp(MIN_ODDS - 1e-6)) * (F.col("c") + 0.5) * (size[0] + 1)
-    top = by.where(F.col("t") >= MIN_DF).where((F.col("entry") != "") & likely).orderBy(F.desc("t"), "entry").limit(4 * LEXICON + 1).collect()
+    top = by.where(F.col("t") >= MIN_DF).where((F.col("entry") != "") & likely).collect()  # entries of the sample
     weights = {}
     for r in top:
         odds = float(np.log((r["t"] + 0.5) / (size[0] + 1)) - np.log((r["c"] + 0.5) / (size[1] + 1)))
-        if r["entry"] and odds >= MIN_ODDS and len(weights) < LEXICON:
+        if odds >= MIN_ODDS:
             weights[r["entry"]] = odds
     if not weights:
         return (), (), None
@@ -171,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[tuple
 
     pairs = sample.mapInArrow(phrases, "entry string, toxic int, n long").groupBy("entry").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    spared = tuple(sorted(r["entry"] for r in pairs.where((F.col("c") >= MIN_DF) & (F.col("c") * stands[0] > F.col("t") * stands[1])).orderBy(F.desc("c"), "entry").limit(EXCEPTIONS).collect()))
+    spared = tuple(sorted(r["entry"] for r in pairs.where((F.col("c") >= MIN_DF) & (F.col("c") * stands[0] > F.col("t") * stands[1])).collect()))
 
     def measure(batches):
         lexicon = _lexicon(fixed, spared, None)
