@@ -5,14 +5,18 @@ its leftmost pair of least rank: ranks of pairs come from a hash table over (lef
 closed up, only the two pairs beside it are looked up again, and rows without a pair left are taken out. Ids of parts of
 text are kept in a bounded cache for each worker, so a frequent word is merged once. There is no shuffle.
 
-Defined results: null and empty texts have no ids and decode to nothing; very long pre-tokens (over LONG bytes) are merged
-with a heap instead of a matrix, by the same rule; rows that repeat are encoded each; other columns are not read.
+A bucket of words over LONG bytes is a matrix of one row, where a round merges every place of the least rank, from the left and
+without overlaps. That is the same as long as no merge makes a pair of that rank or less; a round where one does is done again with
+its leftmost place alone.
+
+Defined results: null and empty texts have no ids and decode to nothing; very long texts and pre-tokens are taken whole, in memory
+of some arrays of their length; of equal ranks in a word the leftmost goes first; rows that repeat are encoded each; a null doc_id is
+kept; an empty table gives no rows; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import cache
 
 import numpy as np
@@ -93,26 +97,30 @@ class Codec:
         return done
 
     def merge_long(self, word: bytes) -> bytes:
-        """Ids of one very long word: a heap of (rank, place) over a linked list."""
-        ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tokens, ranks = self.tokens, self.ranks
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(tokens[ids[i]] + tokens[ids[i + 1]])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or (k := after[i]) >= n or ranks.get(tokens[ids[i]] + tokens[ids[k]]) != r:
-                continue  # it was merged meanwhile
-            ids[i], ids[k] = r, -1
-            after[i] = after[k]
-            if after[i] < n:
-                before[after[i]] = i
-                if (x := ranks.get(tokens[r] + tokens[ids[after[i]]])) is not None:
-                    heapq.heappush(heap, (x, i))
-            if (p := before[i]) >= 0 and (x := ranks.get(tokens[ids[p]] + tokens[r])) is not None:
-                heapq.heappush(heap, (x, p))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        """Ids of one long word."""
+        ids = self.byte[np.frombuffer(word, np.uint8)]
+        rank = self._rank(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == least)
+            run = np.cumsum(np.concatenate([[True], np.diff(at) != 1]))  # of places side by side every second one overlaps the one before
+            at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+            merged, new, lowest = self._merged(ids, rank, at, least)
+            if lowest <= least and len(at) > 1:
+                merged, new, _ = self._merged(ids, rank, at[:1], least)
+            ids, rank = merged, new
+        return ids.astype("<u4").tobytes()
+
+    def _merged(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, token: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, ranks of pairs, least rank of a new pair) after the pairs at `at` became a token."""
+        ids = ids.copy()
+        ids[at] = token
+        ids = np.delete(ids, at + 1)
+        rank = np.delete(rank, at)
+        near = at - np.arange(len(at))  # places of the merged ids
+        near = np.unique(np.concatenate([near - 1, near]))
+        near = near[(near >= 0) & (near < len(rank))]
+        rank[near] = self._rank(ids[near], ids[near + 1])
+        return ids, rank, rank[near].min(initial=_NONE)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each pre-token: its own id if it is a token, else by merging."""
