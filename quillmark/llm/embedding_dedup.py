@@ -1,12 +1,14 @@
 """Operator 7: near-duplicate embeddings by a pivot-permutation index.
 
 1. Equal vectors of a label form one class (grouping on the vector itself, combined map-side), weighted by its size.
-2. Pivots are a bounded, documented sample of vectors: PIVOTS_PER_ROOT * sqrt(rows), between FEWEST and MOST_PIVOTS. Every class
-   is described by the ordered ids of its NEAREST nearest pivots and posted to the inverted list (label, pivot) of each.
+2. Pivots are a documented sample of vectors: PIVOTS_PER_ROOT * sqrt(rows), FEWEST at least, so that lists grow as slowly as their number;
+   PIVOT_BYTES bounds what is sent. Every class is described by its permutation, the ids of its NEAREST nearest pivots in order, and
+   posted to the inverted lists (label, pivot) of the first LISTED of them.
 3. A list is dealt into blocks of about BLOCK classes, and every pair of blocks of a list is one group, so a list that
    holds a third of all rows is many groups and none of them is larger than two blocks.
-4. In a group, shared-pivot counts of all its pairs come from one product of 0/1 matrices; pairs that share at least SHARED pivots
-   are candidates, each taken in the list of its least shared pivot only; they are verified by cosine in double precision.
+4. In a group, shared-pivot counts of all its pairs come from one product of 0/1 matrices over the whole permutations; pairs that share
+   at least SHARED pivots are candidates, each taken in the first list that has both only; they are verified by cosine in double
+   precision.
 5. A group returns a row per class, never its pairs: the weight of the links it found, and a root of its local component.
    Sums give the number of links, and the roots are edges for the distributed component search.
 
@@ -14,7 +16,8 @@ No list, block or candidate is capped. The index covers every row; its recall ag
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components, or whose label is null, links with
 nothing: n_links 0, its own component, kept. Vectors of different lengths never link. A null vec_id takes no part in links.
-Rows that repeat a vec_id count as rows of their own in n_links. Other columns are not read.
+Rows that repeat a vec_id count as rows of their own in n_links. Of pivots that are equally near the one with the least number comes
+first. An empty table gives no rows. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import components, cut, table
 
 THRESHOLD = 0.93
-NEAREST, SHARED = 10, 1
-PIVOTS_PER_ROOT, FEWEST, MOST_PIVOTS = 1.0, 64, 4096
+NEAREST, LISTED, SHARED = 10, 5, 3
+PIVOTS_PER_ROOT, FEWEST = 1.0, 64
+#: Most bytes of pivots that are sent to the executors.
+PIVOT_BYTES = 64 << 20
 BLOCK = 512
 
 
@@ -45,8 +50,9 @@ def _unit(vectors) -> np.ndarray:
 
 
 def pivots(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension; n classes. At most about MOST_PIVOTS vectors reach the driver."""
-    want = int(min(MOST_PIVOTS, max(FEWEST, PIVOTS_PER_ROOT * n ** 0.5)))
+    """Unit pivots by dimension; n classes. At most PIVOT_BYTES of vectors reach the driver."""
+    width = classes.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
+    want = int(min(PIVOT_BYTES // (8 * width), max(FEWEST, PIVOTS_PER_ROOT * n ** 0.5)))
     draw = F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 30))
     rows = classes.where(draw < float(1 << 30) * min(1.0, 1.5 * want / max(1, n))).select("cid", "embedding").orderBy(F.xxhash64("cid", F.lit("order")), "cid").limit(want).collect()
     by: dict[int, list] = {}
@@ -64,9 +70,12 @@ def _group(a: pd.DataFrame, b: pd.DataFrame | None, pivot: int, threshold: float
     cid, weight, x = both["cid"].to_numpy(np.int64), both["size"].to_numpy(np.int64), _unit(both["embedding"])
     k = len(a)
     left, right = (slice(0, k), slice(0, k)) if b is None else (slice(0, k), slice(k, None))
-    early = marks[:, : np.searchsorted(names, pivot)]
+    early = np.zeros_like(marks)  # lists before this one
+    listed = both["near"].map(lambda v: v[:LISTED]).to_list()
+    early[np.repeat(np.arange(len(both)), [len(v) for v in listed]), np.searchsorted(names, np.concatenate(listed))] = 1
+    early = early[:, : np.searchsorted(names, pivot)]
     shared = marks[left] @ marks[right].T
-    link = (shared >= SHARED) & (early[left] @ early[right].T == 0) & (x[left] @ x[right].T >= threshold)
+    link = (shared >= np.minimum(SHARED, len(both["near"].iloc[0]))) & (early[left] @ early[right].T == 0) & (x[left] @ x[right].T >= threshold)
     if b is None:
         np.fill_diagonal(link, False)
     links = np.zeros(len(both), np.int64)
@@ -105,14 +114,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 else:
                     cos = _unit(part["embedding"]) @ p.T
                     m = min(NEAREST, len(p))
-                    top = np.argpartition(-cos, m - 1, axis=1)[:, :m]
+                    top = np.sort(np.argpartition(-cos, m - 1, axis=1)[:, :m], axis=1)
                     order = np.argsort(-np.take_along_axis(cos, top, axis=1), axis=1, kind="stable")
                     near = np.take_along_axis(top, order, axis=1).astype(np.int32).tolist()
                 yield pd.DataFrame({"cid": part["cid"], "size": part["size"], "label": part["label"], "dim": int(d), "embedding": part["embedding"], "near": near})
 
     kind = dict(classes.dtypes)
     described = cut(classes.mapInPandas(describe, f"cid long, size long, label {kind['label']}, dim int, embedding {kind['embedding']}, near array<int>"))
-    posted = described.withColumn("pivot", F.explode("near"))
+    posted = described.withColumn("pivot", F.explode(F.slice("near", 1, LISTED)))
     lists = posted.groupBy("label", "dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = posted.join(lists, ["label", "dim", "pivot"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

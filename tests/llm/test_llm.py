@@ -63,10 +63,22 @@ def test_bpe_as_the_library(docs, none, texts):
 
 
 def test_bpe_long_words_merge_alike():
+    import tiktoken
+
     codec = bpe.codec(P.path(bpe.VOCABULARY), P.PATTERN)
+    ref = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(1)
-    words = ["".join(rng.choice("theainrs") for _ in range(n)).encode() for n in (2, 3, 17, 64, 255)]
-    assert codec.merge_matrix(words) == [codec.merge_long(w) for w in words]
+    words = ["".join(rng.choice("theainrs") for _ in range(n)) for n in (2, 3, 17, 64, 255)]
+    assert codec.merge_matrix([w.encode() for w in words]) == [codec.merge_long(w.encode()) for w in words]
+    words += ["".join(rng.choice(a) for _ in range(n)) for n in (257, 1000, 20_000) for a in ("a", "ab", "theainrs ", "aé日😀")] + ["=" * 100_001, "ab" * 3000 + "a"]
+    for w in words:
+        assert np.frombuffer(codec.merge_long(w.encode()), "<u4").tolist() == ref.encode_ordinary(w)
+
+
+def test_bpe_of_repeated_and_missing_ids(spark):
+    rows = [(1, "w " * 9), (1, "w " * 9), (None, "q" * 600), (2, None)]
+    got = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), bytes(r["decoded"]).decode()) for r in got) == sorted((str(i), t or "") for i, t in rows)
 
 
 def test_packing(docs, none, texts):
@@ -348,6 +360,27 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (2000, 2001, 2002, 2003, 2004, 2005, 2006))
 
 
+def test_embeddings_recall_by_size_and_odd_rows(spark):
+    """Recall of links at several sizes; ties among pivots, repeated and null ids, an empty table."""
+    kind = "vec_id long, embedding array<float>, label int, cid int, pivot int"
+    for n in (400, 2500):
+        rng = np.random.default_rng(n)
+        centre = rng.normal(size=(n // 10, 24))
+        x = np.float32(np.repeat(centre, 10, axis=0) + rng.normal(scale=0.19, size=(n, 24)))
+        rows = [(i, [float(v) for v in r], i % 2, 1, 2) for i, r in enumerate(x)]
+        got = _by(embedding_dedup.near_duplicates(spark.createDataFrame(rows, kind)), "vec_id")
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        link = (u @ u.T >= 0.93) & (np.arange(n)[:, None] % 2 == np.arange(n) % 2)
+        np.fill_diagonal(link, False)
+        want = link.sum(axis=1)
+        found = np.array([got[i]["n_links"] for i in range(n)])
+        assert (found <= want).all() and found.sum() >= 0.9 * want.sum() > n, (n, found.sum() / want.sum())
+    rows = [(1, [1.0, 0.0], 0, 1, 1), (1, [1.0, 0.0], 0, 1, 1), (None, [1.0, 0.0], 0, 1, 1), (2, [0.0, 1.0], 0, 1, 1), (3, [2.0, 0.0], 0, 1, 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == [("1", 2, "1"), ("1", 2, "1"), ("2", 0, "2"), ("3", 2, "1"), ("None", 0, "None")]
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_token_counts(docs, none, texts):
     with open(P.path(token_counts.VOCABULARY), "rb") as f:
         known = {base64.b64decode(a) for a, _ in map(bytes.split, f)}
@@ -487,6 +520,53 @@ def test_toxicity_exceptions_spare_a_phrase():
     assert lex.features("the trash can") == (0.0, 0.0) and lex.features("the trash")[0] > 0 and lex.features("scummy")[0] > 0 and lex.features("ascum")[0] == 0
 
 
+def test_toxicity_against_a_plain_recount(spark):
+    """Weights, exceptions and scores counted again without the automaton, the sampling and Spark."""
+    rng = random.Random(21)
+    clean = [f"k{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    docs, labels = [], []
+    for i in range(400):
+        w = [rng.choice(clean) for _ in range(25)]
+        if i % 5 == 0:
+            w[rng.randrange(25)] = rng.choice(("scumbag", "scumbags", "m0r0nic"))
+            w[rng.randrange(20)] = "trash"
+        elif i % 3 == 0:
+            k = rng.randrange(24)
+            w[k:k + 2] = ["trash", "can"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    extra = [(1000, None), (1001, ""), (1002, "trash can trash scumbagging " * 2000), (1003, "trash can can trash")]
+    df = spark.createDataFrame(docs + extra, "doc_id long, text string")
+    weights, spared, curve = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fitted = [(t, dict(labels)[i]) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    size = [sum(1 for _, y in fitted if y == k) for k in (0, 1)]
+    df_ = ({}, {})
+    pairs = ({}, {})
+    for t, y in fitted:
+        words = t.lower().translate(toxicity.FOLD).split()
+        own = {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in (4, 5, 6) if len(w) > n}
+        for e in own:
+            df_[y][e] = df_[y].get(e, 0) + 1
+        for p in {f"{a} {b}" for a, b in zip(words, words[1:])}:
+            pairs[y][p] = pairs[y].get(p, 0) + 1
+    odds = {e: np.log((n + 0.5) / (size[1] + 1)) - np.log((df_[0].get(e, 0) + 0.5) / (size[0] + 1)) for e, n in df_[1].items() if n >= toxicity.MIN_DF}
+    want = {e: o for e, o in odds.items() if o >= toxicity.MIN_ODDS}
+    assert dict(weights).keys() == want.keys() and all(abs(w - want[e]) < 1e-9 for e, w in weights)
+    near = lambda w: any(e in want for e in (f" {w} ", *(f" {w[:n]}" for n in (4, 5, 6) if len(w) > n)))
+    assert set(spared) == {p for p, n in pairs[0].items() if n >= toxicity.MIN_DF and n > pairs[1].get(p, 0) and any(map(near, p.split()))}
+    for r in toxicity.scored(df, (weights, spared, curve)).collect():
+        words = (dict(docs + extra)[r["doc_id"]] or "").lower().translate(toxicity.FOLD).split()
+        total = 0.0
+        for k, w in enumerate(words):
+            if any(" ".join(words[j:j + 2]) in spared and len(words[j:j + 2]) == 2 for j in (k - 1, k) if j >= 0):
+                continue
+            total += max((v for e, v in want.items() if e == f" {w} " or not e.endswith(" ") and w.startswith(e[1:])), default=0.0)
+        x = np.array([1.0, np.log1p(total), total / (len(words) + toxicity.SMOOTH)])
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(x @ np.array(curve), -40, 40)))) < 1e-9
+    assert toxicity.toxicity(df.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+    assert {r["score"] for r in toxicity.toxicity(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0.0}
+
+
 def test_pipeline_stages(spark, docs, texts, tmp_path):
     """The stages' rows against the operators' own brute force, composed."""
     import corpus_pipeline
