@@ -1,28 +1,30 @@
 """Operator 5: main text of web pages by equivalence-class template deduction.
 
-1. Each page is parsed into elements with their paths (tag and first class or id, from the root). A path is a token; its
-   occurrence vector over the pages of a host is kept as a fingerprint, the sum over pages of mix(page, count), which adds up in
-   any order. Counts, text sizes, link text and the least and greatest hash of the text are summed beside it, all of
-   them map-side combined, so a host with a third of all pages costs a few rows for each task.
-   Tokens on fewer than LEAST pages or RARE of them make no class; in step 3 their text is added to the nearest element that does.
-2. Tokens of a host with equal fingerprints form an equivalence class. Classes of tokens with one occurrence for each of
-   their pages are valid if they nest by their paths, are on LEAST pages and have CLASS tokens (or are on all pages): each is a
+1. Each page is parsed once, in time linear in its length, into elements. An element's path (tag and first class, id or role, from
+   the root) is a token, kept as a 64-bit hash with its parent's. A token's occurrence vector over the pages of a host is kept as
+   a fingerprint, the sum over pages of mix(page, count), which adds up in any order. All sums are combined map-side, so a
+   host with a third of all pages costs a few rows for each task.
+2. Tokens of a host with equal vectors, one occurrence on each of their pages, form an equivalence class. A class is valid if its
+   tokens nest (each one's parent is in a class too), and it has CLASS tokens and LEAST pages, or is on all pages: each is a
    layout. A page is of the layout with the fewest pages among those whose tokens it has, else of the host's rest.
-3. In a second pass the sums are taken for each layout by itself. Its skeleton are the elements that occur once on each
-   of its pages that has them, on SUPPORT of them at least; the others are repeated parts, or lie in slots. The slot with the
-   most unlinked text that differs between pages is the article's; its container is the innermost skeleton element
-   around it that is not a block itself. Templates are small rows (host, and each layout's container and boilerplate paths).
-4. Each page's blocks inside the container are extracted, without slots that are menus, notices, forms or comments by the
-   element's own meaning. Where the container is no element of the article's own but the body, slots beside the article's
-   in which all pages repeat the same text go too; nothing else does.
+   Tokens on fewer than LEAST pages or RARE of them are in no class; in step 3 their text counts for the nearest element that is.
+3. In a second pass vectors and sums are taken for each layout by itself. Its valid classes (on all of its pages, or CLASS
+   tokens on SUPPORT of them) nest into the layout's template; what varies lies in the slots between its tokens. The
+   slot with the most unlinked text that differs between pages is the article's, its innermost template token the container; an
+   article or main around it is taken instead. Templates are small rows (host, and each layout's container and fixed paths).
+4. Each page's blocks inside the container are extracted, without elements that are menus, notices, forms or comments by their
+   own meaning. Where the container is no element of the article's own but the body, slots beside the article's in which
+   all pages repeat the same text go too; nothing else does.
 
 Templates join pages on the host: broadcast if their measured size is under BROADCAST_BYTES, else a shuffled join over
 salted hosts. A host with fewer than LEAST pages has no occurrence vectors to compare; its pages use the elements'
 meanings alone (article, main, else the densest block container).
 
-Defined results: null and empty html have an empty text and 0 characters; a null url belongs to the host ''; unclosed and
-cut-off markup is closed at its parent's or the page's end; repeated rows are pages of their own, but templates come from a host's
-different pages, so equal html counts once for them; other columns are not read.
+Defined results: null and empty html have an empty text and 0 characters; a null url belongs to the host '', a null page_id is kept;
+very long pages are taken whole; unclosed and cut-off markup is closed at its parent's or the page's end, a quote that never
+closes ends with its tag; of slots of equal size the one with the greater hash is taken; repeated rows are pages of their own, but
+templates come from a host's different pages, so equal html counts once for them; an empty table gives no rows; other
+columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -37,17 +39,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Kept, bounded, cut, table, text_batches
+from quillmark.llm.common import BROADCAST_BYTES, Kept, bounded, cut, table, text_batches
 from quillmark.llm.url_filter import host_path
 
 LEAST = 3
 SUPPORT = 0.5
-#: Least tokens of an equivalence class that makes a layout of some of a host's pages.
+#: Least tokens of an equivalence class that isn't on all pages.
 CLASS = 3
-BROADCAST_BYTES = 32 << 20
 SALTS = 32
-#: Tokens on fewer than LEAST pages, or than this share of a host's pages, are no template's: their text counts for the nearest
-#: element around them that is. A host has at most 1 / RARE times a page's tokens, so its rows can be gathered.
+#: Least share of a host's pages that a class is on. A host has at most 1 / RARE times a page's tokens in classes, so its rows can be gathered.
 RARE = 0.01
 #: Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,110 +55,144 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 NEVER = frozenset("script style noscript template iframe nav header footer aside form button select textarea input dialog menu head title svg canvas object".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|promo|related|replies|share|sharing|sidebar|side-bar|social|sponsor|sponsored|subscribe|widget)(?:$|[^a-z])")
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SCOPES = ("ul", "ol", "dl", "table", "select")
+WHOLE = frozenset("html body article main".split())
+HEADINGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote".split())
+#: Words that name what is no article, and words that say nothing beside them. A name counts if all its words are of these and one is of the first.
+NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo related replies share sharing sidebar social sponsor sponsored subscribe widget".split())
+BESIDE = frozenset("area bar block bottom box button buttons container content footer global group inner item items left link links list main media outer page panel reader readers right section side site slot teaser text top unit user users wrap wrapper".split())
+NAME = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+))", re.I)
+OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+WORDS = re.compile(r"[a-z]+")
+
+
+def named_bad(name: str) -> bool:
+    words = WORDS.findall(name)
+    return any(w in NAMES for w in words) and all(w in NAMES or w in BESIDE for w in words)
+
+
+@lru_cache(maxsize=4096)
+def _marks(tag: str, attributes: str) -> tuple[str, bool]:
+    """(mark of an element, whether it is by its own meaning no part of an article)."""
+    names = {k.lower(): (a or b or c).lower().split() for k, a, b, c in NAME.findall(attributes)} if "=" in attributes else {}
+    own = names.get("class") or names.get("id") or names.get("role") or ()
+    bad = tag in NEVER or tag not in WHOLE and any(named_bad(w) for k in ("class", "id", "role") for w in names.get(k, ()))
+    return f"{tag}.{own[0]}" if own else tag, bad
+
+
+def _mix(a: int, b: int) -> int:
+    x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 32)
+
+
+def _part(page: int, n: int) -> int:
+    return (_mix(page, n) & 0xFFFFFFFFFF) - (1 << 39)  # 40 bits: sums of 2^23 pages stay exact
+
+
+@lru_cache(maxsize=65536)
+def _key(up: int, mark: str) -> int:
+    x = _mix(up, zlib.crc32(mark.encode("utf-8", "replace")) | len(mark) << 32)
+    return x - (1 << 64) if x >> 63 else x
+
+
+class Node:
+    """An open element: its path's hash, its parent, and what follows from the elements around it."""
+
+    __slots__ = ("key", "up", "tag", "mark", "depth", "bad", "out", "block", "article", "linked")
+
+    def __init__(self, up, tag: str, mark: str, bad: bool):
+        self.up, self.tag, self.mark = up, tag, mark
+        self.key, self.depth = _key(up.key if up else 0, mark), up.depth + 1 if up else 0
+        self.article = self if tag in ("article", "main") else up.article if up else None
+        self.bad = bad and not (tag == "header" and self.article is not None and self.article.tag == "article")  # the article's own holds its title
+        self.out = self.bad or bool(up and up.out)
+        self.block = up.block if tag in INLINE and up else self
+        self.linked = tag == "a" or bool(up and up.linked)
+
+
+#: What is around all elements of a page; it is never opened.
+ROOT = Node(None, "", "", False)
 
 
 def walk(page: str):
-    """(path, opens, text, linked): an element's begin (opens, text '') or a piece of text inside the path's last element."""
-    path: list[str] = []
-    tags: list[str] = []
+    """(node, opens, text): an element's begin (opens, text '') or a piece of text inside an element (ROOT outside of all)."""
+    stack = [ROOT]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    blocks: list[int] = []  # of those that aren't inline
+    last = {q: page.rfind(q) for q in "\"'"}
     at = 0
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+            if blocks and blocks[-1] >= len(stack):
+                blocks.pop()
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     while at < len(page):
-        m = TAG.search(page, at)
+        m = OPEN.search(page, at)
         begin = m.start() if m else len(page)
         if begin > at:
-            yield path, False, entities.unescape(page[at:begin]), "a" in tags
+            yield stack[-1], False, entities.unescape(page[at:begin])
         if not m:
             return
-        at = m.end()
-        if not m[2]:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        m = TAG.match(page, begin + 1)
+        if not m:  # a declaration or a stray mark
+            end = page.find(">", begin)
+            at = end + 1 if end >= 0 else len(page)
             continue
+        at = m.end()
+        while True:  # to the tag's end, over quoted values
+            stop = STOP.search(page, at)
+            if not stop:
+                return  # cut off inside a tag
+            at = stop.end()
+            quote = stop[0]
+            if quote == ">":
+                break
+            if page[m.end():stop.start()].rstrip()[-1:] != "=":
+                continue  # no value begins here
+            if last[quote] < at:
+                end = page.find(">", at)  # it never closes
+                if end < 0:
+                    return
+                at = end + 1
+                break
+            at = page.find(quote, at) + 1
+        attributes = page[m.end():at - 1]
         tag = m[2].lower()
         if m[1]:
-            if tag in tags:
-                k = len(tags) - 1 - tags[::-1].index(tag)
-                if not (tag in INLINE and any(t not in INLINE for t in tags[k + 1:])):
-                    del tags[k:], path[k:]
+            k = innermost((tag,))
+            if k >= 0 and not (tag in INLINE and blocks and blocks[-1] > k):
+                close(k)
             continue
-        if tag in ENDS_P and "p" in tags:
-            k = len(tags) - 1 - tags[::-1].index("p")
-            del tags[k:], path[k:]
-        closes = CLOSES.get(tag)
-        if closes:
-            for k in range(len(tags) - 1, -1, -1):
-                if tags[k] in closes:
-                    del tags[k:], path[k:]
-                    break
-                if tags[k] in ("ul", "ol", "dl", "table", "select"):
-                    break
-        names = {k.lower(): (a or b or c) for k, a, b, c in NAME.findall(m[3])} if m[3] else {}
-        name = (names.get("class") or names.get("id") or names.get("role") or "").lower().split()
-        mark = f"{tag}.{name[0]}" if name else tag
-        if tag in VOID or m[3].endswith("/"):
-            yield [*path, mark], True, "", False
+        if tag in ENDS_P and (k := innermost(("p",))) >= 0:
+            close(k)
+        if tag in CLOSES and (k := innermost(CLOSES[tag])) > innermost(SCOPES):
+            close(k)
+        node = Node(stack[-1], tag, *_marks(tag, attributes))
+        yield node, True, ""
+        if tag in VOID or attributes.endswith("/"):
             continue
-        tags.append(tag)
-        path.append(mark)
-        yield path, True, "", False
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            close = page.find(">", stop)
-            at = close + 1 if close >= 0 else len(page)
-            tags.pop()
-            path.pop()
-
-
-def bad(mark: str) -> bool:
-    """Whether an element is by its own meaning no part of an article."""
-    tag, _, name = mark.partition(".")
-    return tag in NEVER or bool(name and BAD_NAME.search(name))
-
-
-def _mix(page: int, n: int) -> int:
-    x = (page * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    return ((x ^ (x >> 32)) & 0xFFFFFFFFFF) - (1 << 39)  # 40 bits: sums of 2^23 pages stay exact
-
-
-def _tokens(page_id: int, page: str, kept: frozenset):
-    """(path, count, fingerprint part, text size, linked size, text hash) of each distinct path of a page that is in kept.
-
-    Text of other paths is in the row 'path>*' of the nearest kept path around it, unless it is in a menu, notice or the like.
-    """
-    count: dict[str, int] = {}
-    chars: dict[str, list] = {}
-    for path, opens, text, linked in walk(page):
-        key = ">".join(path)
-        if opens:
-            if key in kept:
-                count[key] = count.get(key, 0) + 1
-            continue
-        if not (text := text.strip()):
+            end = page.find(">", end.start()) if end else -1
+            at = end + 1 if end >= 0 else len(page)
             continue
-        while path and path[-1].partition(".")[0] in INLINE:  # inline elements' text belongs to the block around them
-            path = path[:-1]
-        key = ">".join(path)
-        if key not in kept:
-            if any(bad(x) for x in path):
-                continue
-            while key and key not in kept:
-                path = path[:-1]
-                key = ">".join(path)
-            if not key:
-                continue
-            key += ">*"
-            count[key] = 1
-        c = chars.setdefault(key, [0, 0, 0])
-        c[0] += len(text)
-        c[1] += len(text) * linked
-        c[2] = zlib.crc32(text.encode("utf-8", "replace"), c[2])
-    for key, n in count.items():
-        size, linked, digest = chars.get(key, (0, 0, 0))
-        yield key, n, _mix(page_id, n), size, linked, digest
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append(node)
 
 
 def _paged(pages: DataFrame) -> DataFrame:
@@ -184,196 +218,261 @@ def _with(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
 
 
 def _bytes(found: DataFrame, *columns: str) -> int:
-    return found.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))), F.lit(0))).first()[0]
+    return found.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in columns), F.lit(64))), F.lit(0))).first()[0]
 
 
 def structure(rows: DataFrame) -> DataFrame:
-    """(host, path, pages, n, print): the sums of each token's occurrence vector over its host's pages."""
+    """(host, key, up, depth, fine, pages, n, print): each token with the sums of its occurrence vector over its host's pages; key 0 is the page itself."""
 
     def run(batches):
         for batch in batches:
-            seen: dict[tuple[str, str], list] = {}
-            for key, name, page in zip(batch["row"], batch["host"], batch["html"]):
-                count = {"": 1}
-                for path, opens, _, _ in walk(page or ""):
+            seen: dict[tuple[str, int], list] = {}
+            for page_id, host, page in zip(batch["row"], batch["host"], batch["html"]):
+                count: dict[int, int] = {}
+                nodes: dict[int, Node] = {}
+                for node, opens, _ in walk(page or ""):
                     if opens:
-                        path = ">".join(path)
-                        count[path] = count.get(path, 0) + 1
-                for path, n in count.items():
-                    s = seen.setdefault((name, path), [0, 0, 0])
-                    s[0] += 1
-                    s[1] += n
-                    s[2] += _mix(int(key), n) if path else 0
-            yield pd.DataFrame([(h, p, *v) for (h, p), v in seen.items()], columns="host path pages n print".split())
-
-    parts = rows.mapInPandas(run, "host string, path string, pages long, n long, print long")
-    return parts.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "print")))
-
-
-def classes(rows: list[tuple]) -> list[str]:
-    """A path of each layout of one host, from its (path, pages, n, print): those on the fewest pages first."""
-    total = next((r[1] for r in rows if r[0] == ""), 0)
-    once = {r[0]: (r[1], r[3]) for r in rows if r[0] and r[1] == r[2] and r[1] >= LEAST}
-    found: dict[tuple[int, int], list[str]] = {}
-    skeleton = set()
-    for p in sorted(once, key=lambda p: (p.count(">"), p)):  # nested: its parent is in a class too, or it is a root
-        if (">" not in p or p.rpartition(">")[0] in skeleton) and not bad(p.rpartition(">")[2]):
-            skeleton.add(p)
-            found.setdefault(once[p], []).append(p)
-    valid = [(pages, -len(ps), ps[0]) for (pages, _), ps in found.items() if len(ps) >= CLASS or pages == total]
-    return [p for _, _, p in sorted(valid)]
+                        nodes[node.key] = node
+                        count[node.key] = count.get(node.key, 0) + 1
+                for key, n in [(0, 1), *count.items()]:
+                    node = nodes.get(key)
+                    s = seen.get((host, key))
+                    if s is None:
+                        s = seen[host, key] = [node.up.key if node else 0, node.depth if node else 0, not (node and node.out), 0, 0, 0]
+                    s[3] += 1
+                    s[4] += n
+                    s[5] += _part(int(page_id), n)
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns="host key up depth fine pages n print".split())
+
+    parts = rows.mapInPandas(run, "host string, key long, up long, depth int, fine boolean, pages long, n long, print long")
+    return parts.groupBy("host", "key").agg(F.min("up").alias("up"), F.min("depth").alias("depth"), F.min("fine").alias("fine"), *(F.sum(c).alias(c) for c in ("pages", "n", "print")))
+
+
+def nested(tokens: list[tuple], least: float, total: int) -> tuple[set[int], dict[tuple[int, int], list[int]]]:
+    """(template, classes) of tokens (key, up, depth, fine, pages, n, print): valid classes by (pages, print), and all their tokens that nest.
+
+    Tokens with equal vectors and one occurrence on each of their pages, at least `least`, are a class; it is valid with CLASS tokens that
+    nest, or on all pages.
+    """
+    classes: dict[tuple[int, int], list[int]] = {}
+    once = {t[0]: t for t in tokens if t[0] and t[4] == t[5] >= least and t[3]}
+    inside: set[int] = set()
+    for key, up, depth, *_ in sorted(once.values(), key=lambda t: (t[2], t[0])):
+        if depth == 1 or up in inside:
+            inside.add(key)
+            classes.setdefault((once[key][4], once[key][6]), []).append(key)
+    classes = {v: ks for v, ks in classes.items() if len(ks) >= CLASS or v[0] == total}
+    valid = {k for ks in classes.values() for k in ks}
+    template: set[int] = set()
+    for key in sorted(valid, key=lambda k: (once[k][2], k)):
+        if once[key][2] == 1 or once[key][1] in template:
+            template.add(key)
+    return template, classes
+
+
+def layouts_of(tokens: list[tuple]) -> list[int]:
+    """A token of each layout of one host: those on the fewest pages first."""
+    total = next((t[4] for t in tokens if t[0] == 0), 0)
+    _, classes = nested(tokens, LEAST, total)
+    return [ks[0] for _, ks in sorted(classes.items(), key=lambda c: (c[0][0], -len(c[1]), c[1][0]))]
 
 
 def layouts(rows: DataFrame) -> DataFrame:
-    """(host, layouts, kept): the layouts' paths, and those that no template leaves out, by lines."""
+    """(host, layouts, kept): the layouts' tokens, and those that may be in a class."""
     found = cut(structure(rows))
-    total = found.where("path = ''").select("host", F.col("pages").alias("total"))
-    kept = found.join(total, "host").where((F.col("path") == "") | (F.col("pages") >= F.greatest(F.lit(float(LEAST)), RARE * F.col("total"))))
+    total = found.where("key = 0").select("host", F.col("pages").alias("total"))
+    kept = found.join(total, "host").where((F.col("key") == 0) | (F.col("pages") >= F.greatest(F.lit(float(LEAST)), RARE * F.col("total"))))
 
     def run(key, rows):
-        each = list(rows[["path", "pages", "n", "print"]].itertuples(index=False, name=None))
-        return pd.DataFrame([(key[0], "\n".join(classes(each)), "\n".join(sorted(r[0] for r in each if r[0])))], columns=["host", "layouts", "kept"])
+        each = list(rows[["key", "up", "depth", "fine", "pages", "n", "print"]].itertuples(index=False, name=None))
+        return pd.DataFrame([(key[0], layouts_of(each), sorted(t[0] for t in each if t[0]))], columns=["host", "layouts", "kept"])
 
-    return kept.groupBy("host").applyInPandas(run, "host string, layouts string, kept string")
+    return kept.groupBy("host").applyInPandas(run, "host string, layouts array<bigint>, kept array<bigint>")
 
 
-@lru_cache(maxsize=256)
-def _lines(text: str) -> frozenset:
-    return frozenset(text.split("\n"))
+def layout_of(keys, layouts) -> int:
+    """The first of the layouts that a page is of, 0 for none."""
+    return next((k for k in layouts if k in keys), 0)
 
 
-def layout_of(once, paths: list[str]) -> str:
-    """The first of the layouts' paths that a page has."""
-    return next((p for p in paths if p in once), "")
+def _sums(page_id: int, page: str, kept) -> dict[tuple[int, bool], list]:
+    """{(key, folded): [up, depth, fine, kind, count, fingerprint part, text size, linked size, text hash]} of a page's kept tokens.
+
+    Text of other tokens is folded into the nearest kept one around it, unless it is in a menu, notice or the like.
+    """
+    found: dict[tuple[int, bool], list] = {}
+
+    def at(node: Node, folded: bool) -> list:
+        s = found.get((node.key, folded))
+        if s is None:
+            up = node.up
+            while up and up.key not in kept:
+                up = up.up
+            kind = 2 if node.tag in ("article", "main") else 1 if node.tag in ("html", "body") else 0
+            s = found[node.key, folded] = [up.key if up else 0, node.depth, not node.out, kind, 0, 0, 0, 0, 0]
+        return s
+
+    for node, opens, text in walk(page):
+        if opens:
+            if node.key in kept:
+                at(node, False)[4] += 1
+            continue
+        text = text.strip()
+        if not text:
+            continue
+        own = node.block  # inline elements' text belongs to the block around them
+        if own.key not in kept:
+            if node.out:
+                continue
+            while own and own.key not in kept:
+                own = own.up
+            if own is None:
+                continue
+            s = at(own, True)
+            s[4] = 1
+        else:
+            s = at(own, False)
+        s[6] += len(text)
+        s[7] += len(text) * node.linked
+        s[8] = zlib.crc32(text.encode("utf-8", "replace"), s[8])
+    for s in found.values():
+        s[5] = _part(page_id, s[4])
+    return found
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """One row per (host, layout, path) with its sums over the layout's pages."""
+    """One row per (host, layout, key, folded) with its sums over the layout's pages."""
 
     def run(batches):
         for batch in batches:
-            seen: dict[tuple[str, str, str], list] = {}
-            for key, name, page, known, kept in zip(batch["row"], batch["host"], batch["html"], batch["layouts"], batch["kept"]):
-                found = list(_tokens(int(key), page or "", _lines(kept or "")))
-                layout = layout_of({t[0] for t in found}, (known or "").split("\n") if known else [])
-                for path, n, part, size, linked, digest in [*found, ("", 1, 0, 0, 0, 0)]:
-                    s = seen.get((name, layout, path))
+            seen: dict[tuple, list] = {}
+            for page_id, host, page, known, kept in zip(batch["row"], batch["host"], batch["html"], batch["layouts"], batch["kept"]):
+                found = _sums(int(page_id), page or "", frozenset(kept) if kept is not None else frozenset())
+                layout = layout_of({k for k, folded in found if not folded}, known.tolist() if known is not None else [])
+                for (key, folded), (up, depth, fine, kind, n, part, size, linked, digest) in [*found.items(), ((0, False), (0, 0, True, 0, 1, 0, 0, 0, 0))]:
+                    s = seen.get((host, layout, key, folded))
                     if s is None:
-                        seen[name, layout, path] = [1, n, part, size, linked, digest, digest]
+                        seen[host, layout, key, folded] = [up, depth, fine, kind, 1, n, part, size, linked, digest, digest]
                     else:
-                        s[0] += 1
-                        s[1] += n
-                        s[2] += part
-                        s[3] += size
-                        s[4] += linked
-                        s[5], s[6] = min(s[5], digest), max(s[6], digest)
-            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns="host layout path pages n print chars linked low high".split())
+                        s[4] += 1
+                        s[5] += n
+                        s[6] += part
+                        s[7] += size
+                        s[8] += linked
+                        s[9], s[10] = min(s[9], digest), max(s[10], digest)
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns="host layout key folded up depth fine kind pages n print chars linked low high".split())
+
+    parts = rows.mapInPandas(run, "host string, layout long, key long, folded boolean, up long, depth int, fine boolean, kind int, pages long, n long, print long, chars long, linked long, low long, high long")
+    return parts.groupBy("host", "layout", "key", "folded").agg(
+        *(F.min(c).alias(c) for c in ("up", "depth", "fine", "kind")), *(F.sum(c).alias(c) for c in ("pages", "n", "print", "chars", "linked")), F.min("low").alias("low"), F.max("high").alias("high"))
 
-    parts = rows.mapInPandas(run, "host string, layout string, path string, pages long, n long, print long, chars long, linked long, low long, high long")
-    return parts.groupBy("host", "layout", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "print", "chars", "linked")), F.min("low").alias("low"), F.max("high").alias("high"))
 
+ROW = "key folded up depth fine kind pages n print chars linked low high".split()
 
-def deduce(rows: list[tuple]) -> tuple[str | None, list[str]]:
-    """(container path, boilerplate paths) of one layout from its (path, pages, n, print, chars, linked, low, high)."""
-    total = next((r[1] for r in rows if r[0] == ""), 0)
+
+def deduce(rows: list[tuple]) -> tuple[int | None, list[int]]:
+    """(container, fixed paths) of one layout from its rows, whose columns are ROW."""
+    total = next((r[6] for r in rows if r[0] == 0), 0)
     rows = [r for r in rows if r[0]]
     if total < LEAST:
         return None, []
-    valid = {r[0] for r in rows if r[1] >= SUPPORT * total and not r[0].endswith(">*")}
-    once = {r[0] for r in rows if r[1] == r[2] and r[1] >= SUPPORT * total and not r[0].endswith(">*")}
-    skeleton = set()
-    for p in sorted(once, key=lambda p: p.count(">")):  # nested: its parent is in the skeleton, or it is a root
-        if ">" not in p or p.rpartition(">")[0] in skeleton:
-            skeleton.add(p)
-    fine = [r for r in rows if not any(bad(x) for x in r[0].split(">"))]
-    boiler = [r[0] for r in rows if r[0] in valid and r[4] > 0 and r[6] == r[7] and r[1] > 1]  # the same text on all pages
-    slots: dict[str, int] = {}
-
-    def slot(path):
-        around = path.rpartition(">")[0] if path.rpartition(">")[2].partition(".")[0] not in ("article", "main", "body") else path
-        while around and around not in skeleton:
-            around = around.rpartition(">")[0]
+    by = {r[0]: r for r in rows if not r[1]}
+    template, _ = nested([(r[0], r[2], r[3], r[4], r[6], r[7], r[8]) for r in by.values()], max(LEAST, SUPPORT * total), total)
+
+    def slot(r) -> int:
+        """The innermost template token around a row's text."""
+        around = r[0] if r[1] or r[5] else r[2]
+        while around and around not in template:
+            around = by[around][2] if around in by else 0
         return around
 
-    for path, _, _, _, chars, linked, low, high in fine:
-        if chars - linked <= 0 or low == high:
-            continue
-        if around := slot(path):
-            slots[around] = slots.get(around, 0) + chars - linked
+    slots: dict[int, int] = {}
+    for r in rows:
+        if r[4] and r[9] > r[10] and r[11] != r[12] and (around := slot(r)):
+            slots[around] = slots.get(around, 0) + r[9] - r[10]
     if not slots:
         return None, []
-    best = max(slots, key=lambda p: (slots[p], p))
-    up = best
-    while up:  # an article or main around the slot holds its heading too
-        if up.rpartition(">")[2].partition(".")[0] in ("article", "main"):
-            best = up
-            break
-        up = up.rpartition(">")[0]
-    if best.rpartition(">")[2].partition(".")[0] not in ("html", "body"):  # an element of the article's own
+    best = max(slots, key=lambda k: (slots[k], k))
+
+    def whole(key: int) -> int:
+        """The article or main around a token, or 0."""
+        while key and not (key in by and by[key][5] == 2):
+            key = by[key][2] if key in by else 0
+        return key
+
+    best = whole(best) or best
+    if by[best][5] != 1:  # an element of the article's own
         return best, []
-    return best, [p for p in boiler if p.startswith(best + ">") and slot(p) != best and not any(x.partition(".")[0] in ("article", "main") for x in p.split(">"))]
+
+    def inside(key: int) -> bool:
+        while key and key != best:
+            key = by[key][2] if key in by else 0
+        return key == best
+
+    fixed = [r[0] for r in by.values() if r[0] != best and r[6] >= SUPPORT * total and r[9] > 0 and r[11] == r[12] and r[6] > 1]  # the same text on all pages
+    return best, [k for k in fixed if inside(k) and slot(by[k]) != best and not whole(k)]
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): one row per host, with [layout's path, container, boilerplate paths] of each layout as JSON."""
+    """(host, template): one row per host, with [layout, container, fixed paths] of each layout as JSON."""
     rows = _different(_paged(pages))
     known = cut(layouts(rows))
     found = tokens(_with(rows, known, _bytes(known, "host", "layouts", "kept")))
 
     def run(key, rows):
-        best, boiler = deduce(list(rows[["path", "pages", "n", "print", "chars", "linked", "low", "high"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(*key, best, boiler)], columns=["host", "layout", "container", "boiler"])
+        best, fixed = deduce(list(rows[ROW].itertuples(index=False, name=None)))
+        return pd.DataFrame([(*key, best, fixed)], columns=["host", "layout", "container", "fixed"]).astype({"container": "Int64"})
 
-    each = found.groupBy("host", "layout").applyInPandas(run, "host string, layout string, container string, boiler array<string>")
+    each = found.groupBy("host", "layout").applyInPandas(run, "host string, layout long, container long, fixed array<bigint>")
 
     def joined(key, rows):
-        order = {p: i for i, p in enumerate((rows["layouts"][0] or "").split("\n"))}
-        made = [(p, c, list(b)) for p, c, b in zip(rows["layout"], rows["container"], rows["boiler"])]
+        order = {p: i for i, p in enumerate(rows["layouts"].iloc[0])}
+        made = [(int(p), int(c) if isinstance(c, str) else None, [int(x) for x in b]) for p, c, b in zip(rows["layout"], rows["container"], rows["fixed"])]
         return pd.DataFrame([(key[0], json.dumps(sorted(made, key=lambda m: order.get(m[0], len(order)) if m[0] else len(order))))], columns=["host", "template"])
 
-    return each.join(known.select("host", "layouts"), "host").groupBy("host").applyInPandas(joined, "host string, template string")
+    made = each.withColumn("container", F.col("container").cast("string"))  # longs with nulls would turn to doubles
+    return made.join(known.select("host", "layouts"), "host").groupBy("host").applyInPandas(joined, "host string, template string")
 
 
 @lru_cache(maxsize=256)
-def _template(text: str) -> dict[str, tuple]:
-    return {p: (container, frozenset(boiler)) for p, container, boiler in json.loads(text)}
+def _template(text: str) -> dict[int, tuple]:
+    return {p: (container, frozenset(fixed)) for p, container, fixed in json.loads(text)}
 
 
 def page_text(page: str, template: str | None) -> str:
     """The main text by the template of the page's layout."""
-    by = [(list(path), text, opens) for path, opens, text, _ in walk(page)]
+    events = list(walk(page))
     known = _template(template) if template else {}
-    container, boiler = known.get(layout_of({">".join(path) for path, _, opens in by if opens}, [p for p in known if p]), (None, ()))
-    return _blocks(by, container, boiler)
+    container, fixed = known.get(layout_of({node.key for node, opens, _ in events if opens}, [p for p in known if p]), (None, ()))
+    return _blocks(events, container, fixed)
 
 
-def main_text(page: str, container: str | None, boiler=()) -> str:
-    """The article's blocks, one for each line. Without a container the elements' meanings decide."""
-    return _blocks([(list(path), text, opens) for path, opens, text, _ in walk(page)], container, boiler)
-
-
-def _blocks(by: list[tuple[list[str], str, bool]], container: str | None, boiler) -> str:
-    skip = frozenset(boiler)
-    if container is not None and not any((k := ">".join(p)) == container or k.startswith(container + ">") for p, _, _ in by):
+def _densest(events: list) -> int | None:
+    """The container by the elements' meanings: the longest article or main, else the block with the most text in it."""
+    size: dict[int, int] = {}
+    for node, opens, text in events:
+        if opens or node.out:
+            continue
+        own = node.article
+        if own is None:
+            own = node.block
+            if own.tag in HEADINGS and own.up:
+                own = own.up
+        size[own.key] = size.get(own.key, 0) + len(text.strip()) * (1000 if node.article else 1)
+    best = max(size, key=size.get, default=None)
+    return best if best is not None and size[best] else None
+
+
+def _blocks(events: list, container: int | None, fixed) -> str:
+    """The article's blocks, one for each line."""
+    if container is not None and not any(opens and node.key == container for node, opens, _ in events):
         container = None  # another layout than the host's
     if container is None:
-        size: dict[str, int] = {}
-        for path, text, _ in by:
-            if any(bad(x) for x in path):
-                continue
-            at = next((i for i, x in enumerate(path) if x.partition(".")[0] in ("article", "main")), None)
-            block = path
-            while block and block[-1].partition(".")[0] in INLINE:
-                block = block[:-1]
-            key = ">".join(path[:at + 1]) if at is not None else ">".join(block[:-1] if block and block[-1].partition(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote") else block)
-            size[key] = size.get(key, 0) + len(text.strip()) * (1 if at is None else 1000)
-        container = max(size, key=size.get, default="")
-        if not size or not size[container]:
-            return ""
-    depth = container.count(">") + 1 if container else 0
+        container = _densest(events)
     out: list[str] = []
     run: list[str] = []
-    edge: list[str] | None = None
+    edge = None
+    state = {ROOT: int(container == ROOT.key)}  # of nodes; 0: outside of the container, 1: inside, 2: inside and left out
 
     def close():
         text = " ".join("".join(run).split())
@@ -381,29 +480,28 @@ def _blocks(by: list[tuple[list[str], str, bool]], container: str | None, boiler
             out.append(text)
         run.clear()
 
-    for path, text, opens in by:
-        key = ">".join(path)
-        if container and not (key == container or key.startswith(container + ">")):
-            close()
-            edge = None
-            continue
-        own = path[depth:]
-        block = list(path)
-        while len(block) > depth and block[-1].partition(".")[0] in INLINE:
-            block.pop()
+    for node, opens, text in events:
         if opens:
-            tag = path[-1].partition(".")[0]
-            if tag == "br":
+            around = state[node.up]
+            state[node] = 2 if around == 2 or around == 1 and node.bad else 1 if around == 1 or node.key == container else 0
+            if around == 0 and state[node] == 0:
+                close()
+                edge = None
+            elif node.tag == "br":
                 run.append(" ")
-            elif tag not in INLINE:
+            elif node.tag not in INLINE:
                 close()
-                edge = block
+                edge = node
+            continue
+        if state[node] == 0:
+            close()
+            edge = None
             continue
-        if any(bad(x) for x in own) or ">".join(block) in skip:
+        if state[node] == 2 or node.block.key in fixed:
             continue
-        if block != edge:
+        if node.block is not edge:
             close()
-            edge = block
+            edge = node.block
         run.append(text)
     close()
     return "\n".join(out)

@@ -427,14 +427,93 @@ def test_html(spark):
     assert got[10]["text"] == "alone <x>\ntwo" and got[11]["text"] == "" and got[12]["text"] == "" and got[13]["text"] == "cut off"
 
 
+def _rows_of(pages):
+    """deduce()'s rows of one layout's pages, summed here one by one."""
+    out = {}
+    for k, page in enumerate(pages):
+        keys = {n.key for n, opens, _ in html_extract.walk(page) if opens}
+        for at, v in [*html_extract._sums(k, page, keys).items(), ((0, False), [0, 0, True, 0, 1, 0, 0, 0, 0])]:
+            r = out.setdefault(at, [*v[:4], 0, 0, 0, 0, 0, v[8], v[8]])
+            r[4] += 1
+            for i, x in enumerate(v[4:8], 5):
+                r[i] += x
+            r[9], r[10] = min(r[9], v[8]), max(r[10], v[8])
+    return [(*at, *r) for at, r in out.items()]
+
+
+def _mark(pages, key):
+    return next((n.mark for p in pages for n, opens, _ in html_extract.walk(p) if opens and n.key == key), None)
+
+
 def test_template_deduction():
-    rows = [("", 10, 10, 0, 0, 0, 0, 0)]
-    once = [("html", 1), ("html>body", 1), ("html>body>nav", 1), ("html>body>main", 1), ("html>body>main>p", 4)]
-    for path, n in once:
-        size = {"html>body>main>p": (900, 0, 1, 9), "html>body>nav": (500, 500, 5, 5)}.get(path, (0, 0, 0, 0))
-        rows.append((path, 10, 10 * n, hash((path, n) if n > 1 else 1), *size))
-    assert html_extract.deduce(rows) == ("html>body>main", [])
-    assert html_extract.deduce([("", 2, 2, 0, 0, 0, 0, 0)]) == (None, [])
+    """Three tokens with equal vectors on part of the pages are template; with vectors of their own they lie in a slot."""
+    def page(k, shown):
+        box = "".join(f"<div class='{c}'>" for c in "xyz" if c in shown) + f"<p>story {k} {'w' * 40}</p>" + "</div>" * len(shown)
+        return f"<html><body><div class='top'><p>Part {k}</p></div>{box}</body></html>"
+    together = [page(k, "xyz" if k < 6 else "") for k in range(10)]
+    apart = [page(k, "xyz"[:1 + k % 3] if k < 9 else "x") for k in range(10)]
+    assert _mark(together, html_extract.deduce(_rows_of(together))[0]) == "div.z"
+    assert _mark(apart, html_extract.deduce(_rows_of(apart))[0]) == "div.x"  # on all pages: a class of one
+    rows = _rows_of(together)
+    changed = [(*r[:8], r[8] + i, *r[9:]) if r[6] == 6 else r for i, r in enumerate(rows)]
+    assert _mark(together, html_extract.deduce(changed)[0]) == "body"
+    assert html_extract.deduce(_rows_of(together[:2])) == (None, [])
+
+
+def test_classes_against_brute_force(spark):
+    """Layouts by fingerprints are those by whole vectors, nested one by one."""
+    rng = random.Random(3)
+    for _ in range(20):
+        shapes = ["".join(f"<div class='{rng.choice('abcdef')}'>" for _ in range(rng.randrange(1, 5))) for _ in range(3)]
+        pages = ["<html><body>" + "".join(f"{s}t{k}" + "</div>" * s.count("<div") for s in shapes if rng.random() < 0.7) + "</body></html>" for k in range(8)]
+        vectors, up, depth = {}, {}, {}
+        for k, page in enumerate(pages):
+            for n, opens, _ in html_extract.walk(page):
+                if opens:
+                    vectors.setdefault(n.key, [0] * 8)[k] += 1
+                    up[n.key], depth[n.key] = n.up.key, n.depth
+        once = {k: tuple(v) for k, v in vectors.items() if max(v) == 1 and sum(v) >= html_extract.LEAST}
+        inside = set()
+        for k in sorted(once, key=lambda k: (depth[k], k)):
+            if depth[k] == 1 or up[k] in inside:
+                inside.add(k)
+        by = {}
+        for k in inside:
+            by.setdefault(once[k], set()).add(k)
+        want = {frozenset(ks) for v, ks in by.items() if len(ks) >= html_extract.CLASS or sum(v) == 8}
+        found = [(0, 0, 0, True, 8, 8, 0)] + [(k, up[k], depth[k], True, sum(1 for x in v if x), sum(v), sum(html_extract._part(i, x) for i, x in enumerate(v) if x)) for k, v in vectors.items()]
+        _, classes = html_extract.nested(found, html_extract.LEAST, 8)
+        assert {frozenset(ks) for ks in classes.values()} == want
+        assert {next(ks for ks in want if k in ks) for k in html_extract.layouts_of(found)} == want
+
+
+def test_html_parser_is_linear_and_keeps_markup_out():
+    import time
+
+    long = {
+        "deep": "<div>" * 50_000 + "x", "open quotes": "<article><p>x</p>" + "<p title=\"" * 50_000, "closes": "<article><p>x</p>" + "</b></i>" * 50_000,
+        "items": "<ul>" * 300 + "<li>x" * 30_000, "marks": "<article>x" + " < 3" * 50_000, "apostrophes": "<article><p title=it's>x</p>" + "<a href=o'>" * 50_000,
+    }
+    for name, page in long.items():
+        begin = time.time()
+        assert "x" in html_extract.page_text(page, None), name
+        assert time.time() - begin < 5, name
+    main = lambda page: html_extract.page_text(page, None)
+    assert main("<article><p title=\"x>Hello</p><p>World</p></article>") == "Hello\nWorld"
+    assert main("<article><p title='a>b'>one</p><p data-x=\"</p>\">two</p></article>") == "one\ntwo"
+    assert main("<article><header><h1>T</h1></header><div class='share-price'>12</div><div class='related links'>no</div><p>x &amp;lt; y</article>") == "T\n12\nx &lt; y"
+    assert main("plain <b>text</b>\n only") == "plain text only" and main("<!-- a <p> b") == "" and main("<p") == ""
+
+
+def test_html_of_odd_rows(spark):
+    """An empty table, repeated rows, a null page_id, a very long page, clashing names."""
+    kind = "page_id long, url string, html string, host string, key long, layout long"
+    assert html_extract.extract(spark.createDataFrame([], kind)).count() == 0
+    long = "".join(f"<p>part {k} {'w' * 50}</p>" for k in range(20_000))
+    rows = [(1, "http://a.org", f"<html><body><article>{long}</article></body></html>", "x", 1, 2)] * 2 + [(None, None, "<p>a</p>", "x", 1, 2), (2, "http://a.org", None, None, None, None)]
+    got = sorted((str(r["page_id"]), r["text"]) for r in html_extract.extract(spark.createDataFrame(rows, kind)).collect())
+    whole = "\n".join(f"part {k} {'w' * 50}" for k in range(20_000))
+    assert got == [("1", whole), ("1", whole), ("2", ""), ("None", "a")]
 
 
 def _layouts(spark):
