@@ -42,7 +42,7 @@ from quillmark.llm.pieces import claim, slices
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
-#: Gaps of one task where there are many, and least gaps of one where there are few.
+#: Gaps of one task where there are many, and least rows of one where there are few.
 GAPS, FEW_GAPS = 200_000, 20_000
 
 
@@ -168,17 +168,15 @@ class _Sorted:
 
     def __init__(self, rows: DataFrame, n: int, size: str, *ties: str):
         self.size = size
-        self.kept = Kept(rows.repartitionByRange(n, size, *ties).sortWithinPartitions(size, *ties).withColumn("part", F.spark_partition_id()), task_rows=0)
+        self.kept = Kept(rows.repartitionByRange(n, size, *ties).sortWithinPartitions(size, *ties).withColumn("part", F.spark_partition_id()), task_rows=FEW_GAPS)
 
         def count(batches):
-            held: dict[int, int] = {}
+            held: dict[int, int] = {}  # by part and size
             for b in batches:
-                for x, k in zip(*(v.tolist() for v in np.unique(b.column(0).to_numpy(), return_counts=True))):
+                for x, k in zip(*(v.tolist() for v in np.unique(b.column(1).to_numpy().astype(np.int64) << 32 | b.column(0).to_numpy(), return_counts=True))):
                     held[x] = held.get(x, 0) + k
-                if b.num_rows:
-                    part = b.column(1)[0].as_py()
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(held), pa.int32()), pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["part", "size", "n"])
+            at = np.array(list(held), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 32, pa.int32()), pa.array(at & 0xFFFFFFFF), pa.array(list(held.values()), pa.int64())], names=["part", "size", "n"])
 
         self.before, self.total = {}, {}
         for part, x, k in sorted(map(tuple, self.kept.df.select(F.col(size).cast("long"), "part").mapInArrow(count, "part int, size long, n long").collect())):  # sizes + partitions rows at most
@@ -191,15 +189,19 @@ class _Sorted:
         send, size = sc.broadcast(self.before), self.size
 
         def run(batches):
-            seen = None
+            seen: dict[int, int] = {}  # by part and size
             for batch in batches:
                 if len(batch):
-                    if seen is None:
-                        seen = dict(send.value[int(batch["part"].iloc[0])])
-                    sizes, inverse, many = np.unique(batch[size].to_numpy(np.int64), return_inverse=True, return_counts=True)
-                    batch["rank"] = batch.groupby(size).cumcount().to_numpy(np.int64) + np.array([seen[x] for x in sizes.tolist()], np.int64)[inverse]
-                    for x, k in zip(sizes.tolist(), many.tolist()):
-                        seen[x] += k
+                    at, inverse, many = np.unique(batch["part"].to_numpy(np.int64) << 32 | batch[size].to_numpy(np.int64), return_inverse=True, return_counts=True)
+                    own = batch.groupby(inverse).cumcount().to_numpy(np.int64)
+                    base = []
+                    for x, k in zip(at.tolist(), many.tolist()):
+                        n = seen.get(x)
+                        if n is None:
+                            n = send.value[x >> 32][x & 0xFFFFFFFF]
+                        base.append(n)
+                        seen[x] = n + k
+                    batch["rank"] = own + np.array(base, np.int64)[inverse]
                     yield then(batch)
 
         return self.kept.df.mapInPandas(run, schema)
