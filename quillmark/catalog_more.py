@@ -103,14 +103,12 @@ query("consensus_tokens")(lambda s, d: consensus.consensus_tokens(_reads(s, d)))
 query("agreement_pct")(lambda s, d: consensus.agreement_pct(_reads(s, d)))
 
 
-@query("gate_status", _read_sql() + """, g AS (SELECT clip_id, count(DISTINCT family) AS families, any_value(clip_id % 13) AS contested FROM norm GROUP BY clip_id)
- SELECT clip_id, CASE WHEN clip_id % 17 = 0 AND lang_ok OR families < 2 OR contested / 50.0 > 0.10 THEN 'review' ELSE 'pass' END AS status, round(contested / 50.0, 3) AS contested_ratio, families FROM g JOIN (SELECT doc_id AS clip_id, true AS lang_ok FROM (SELECT item_id AS doc_id FROM benchmark)) USING (clip_id)""")
+@query("gate_status")
 def gate_status(spark, sf_dir):
     reads = _reads(spark, sf_dir)
     clips = _passages(spark, sf_dir).select(F.col("doc_id").alias("clip_id"), "lang")
-    decided = clips.select("clip_id", F.lit(50).cast("long").alias("tokens"), (F.col("clip_id") % 13).alias("contested"))
     health = clips.where("clip_id % 17 = 0").select("clip_id", "lang", F.lit("scribe").alias("witness"), F.lit("error").alias("status"))
-    return consensus.gate(reads, decided, health).drop("reasons")
+    return consensus.gate(reads, consensus.consensus_tokens(reads, _lexicon(spark, sf_dir)), health).drop("reasons")
 
 
 # ---- metrics
@@ -127,15 +125,17 @@ _PAIRS = _read_sql() + r""", ascii AS (SELECT clip_id, witness, lang, regexp_rep
 """
 query("cer_pairs", _PAIRS + r"""SELECT clip_id, witness, CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(levenshtein(r, h) / length(r), 4) END AS cer
  FROM (SELECT clip_id, witness, regexp_replace(lower(ref), '[^\w'']+|\s+', '', 'g') AS r, regexp_replace(lower(hyp), '[^\w'']+|\s+', '', 'g') AS h FROM pairs)""")(lambda s, d: metrics.cer(_pairs(s, d)).select("clip_id", "witness", "cer"))
-query("wer_pairs_encoded")(lambda s, d: metrics.wer(_pairs(s, d)).select("clip_id", "witness", "wer"))
-_CHRF = " UNION ALL ".join(f"SELECT clip_id, '{side}' AS side, {n} AS n, substr({col}, unnest(range(1, length({col}) - {n} + 2)), {n}) AS g FROM w WHERE length({col}) >= {n}" for n in range(1, 7) for side, col in (("r", "ref"), ("h", "hyp")))
-query("chrf_pairs", _PAIRS + f""", w AS (SELECT clip_id, trim(ref) AS ref, trim(hyp) AS hyp FROM pairs WHERE witness = 'gemini'), g AS ({_CHRF}),
- c AS (SELECT clip_id, n, g, count(CASE WHEN side = 'r' THEN 1 END) AS r, count(CASE WHEN side = 'h' THEN 1 END) AS h FROM g GROUP BY ALL), o AS (SELECT clip_id, n, sum(least(r, h)) AS m, sum(r) AS r, sum(h) AS h FROM c GROUP BY ALL),
- m AS (SELECT clip_id, avg(CASE WHEN h > 0 THEN m / h END) AS p, avg(CASE WHEN r > 0 THEN m / r END) AS q FROM o GROUP BY clip_id)
- SELECT w.clip_id, coalesce(CASE WHEN p + q > 0 THEN round(5 * p * q / (4 * p + q), 3) ELSE 0.0 END, 0.0) AS chrf FROM w LEFT JOIN m USING (clip_id)""")(lambda s, d: metrics.chrf(_pairs(s, d).where("witness = 'gemini'"), "clip_id"))
-query("reliability_by_witness", _PAIRS + r""", e AS (SELECT lang, witness, CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(levenshtein(r, h) / length(r), 4) END AS wer
- FROM (SELECT lang, witness, regexp_replace(lower(ref), '[^\w'']+|\s+', '', 'g') AS r, regexp_replace(lower(hyp), '[^\w'']+|\s+', '', 'g') AS h FROM pairs))
- SELECT lang, witness, count(*) AS clips, round(1 - avg(wer), 4) AS reliability FROM e GROUP BY lang, witness HAVING count(*) >= 2""")(lambda s, d: metrics.reliability(metrics.cer(_pairs(s, d)).withColumnRenamed("cer", "wer")))
+_WER = _PAIRS + r""", tok AS (SELECT clip_id, witness, lang, regexp_extract_all(regexp_replace(lower(ref), '[^\w\s'']', ' ', 'g'), '\S+') AS r, regexp_extract_all(regexp_replace(lower(hyp), '[^\w\s'']', ' ', 'g'), '\S+') AS h FROM pairs),
+ code AS (SELECT *, list_distinct(list_concat(r, h)) AS d FROM tok), enc AS (SELECT clip_id, witness, lang, array_to_string(list_transform(r, lambda x: chr(CAST(33 + list_position(d, x) AS INT))), '') AS r, array_to_string(list_transform(h, lambda x: chr(CAST(33 + list_position(d, x) AS INT))), '') AS h FROM code),
+ e AS (SELECT clip_id, witness, lang, CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(levenshtein(r, h) / length(r), 4) END AS wer FROM enc)
+"""
+query("wer_pairs_encoded", _WER + "SELECT clip_id, witness, wer FROM e")(lambda s, d: metrics.wer(_pairs(s, d)).select("clip_id", "witness", "wer"))
+_CHRF = " UNION ALL ".join(f"SELECT pair, '{side}' AS side, {n} AS n, substr({col}, unnest(range(1, length({col}) - {n} + 2)), {n}) AS g FROM w WHERE length({col}) >= {n}" for n in range(1, 7) for side, col in (("r", "ref"), ("h", "hyp")))
+query("chrf_pairs", _PAIRS + f""", w AS (SELECT clip_id || ' ' || witness AS pair, trim(ref) AS ref, trim(hyp) AS hyp FROM pairs), g AS ({_CHRF}),
+ c AS (SELECT pair, n, g, count(CASE WHEN side = 'r' THEN 1 END) AS r, count(CASE WHEN side = 'h' THEN 1 END) AS h FROM g GROUP BY ALL), o AS (SELECT pair, n, sum(least(r, h)) AS m, sum(r) AS r, sum(h) AS h FROM c GROUP BY ALL),
+ m AS (SELECT pair, avg(CASE WHEN h > 0 THEN m / h END) AS p, avg(CASE WHEN r > 0 THEN m / r END) AS q FROM o GROUP BY pair)
+ SELECT w.pair, coalesce(CASE WHEN p + q > 0 THEN round(5 * p * q / (4 * p + q), 3) ELSE 0.0 END, 0.0) AS chrf FROM w LEFT JOIN m USING (pair)""")(lambda s, d: metrics.chrf(_pairs(s, d).withColumn("pair", F.concat_ws(" ", "clip_id", "witness")), "pair"))
+query("reliability_by_witness", _WER + "SELECT lang, witness, count(*) AS clips, round(1 - avg(wer), 4) AS reliability FROM e GROUP BY lang, witness HAVING count(*) >= 2")(lambda s, d: metrics.reliability(metrics.wer(_pairs(s, d))))
 query("confusion_counts")(lambda s, d: mining.confusions(_pairs(s, d).select("lang", F.col("ref").alias("gold"), F.col("hyp").alias("heard"))))
 query("confusion_inversion")(lambda s, d: mining.inverted(mining.confusions(_pairs(s, d).select("lang", F.col("ref").alias("gold"), F.col("hyp").alias("heard")))))
 
@@ -168,10 +168,10 @@ query("speaker_map_overlap")(lambda s, d: timeline.map_ids(_spoken(s, d), _heard
 query("diar_agreement_grid")(lambda s, d: timeline.agreement(_spoken(s, d), _heard(s, d)))
 query("speaker_asof_midpoint")(lambda s, d: timeline.apply_reference_speakers(_heard(s, d), _spoken(s, d)).select("clip_id", "ord", "speaker"))
 query("cross_consensus")(lambda s, d: timeline.cross_consensus(_spoken(s, d), {"other": _heard(s, d)}).select("clip_id", "ord", "speaker", "other", "agree"))
-query("vad_coverage", _SPOKEN + """, s AS (SELECT clip_id, start + 0.4 AS s, "end" + 0.4 AS e FROM spoken WHERE ord % 2 = 0 AND "end" - start >= 0.8), u AS (SELECT clip_id, start AS us, "end" AS ue FROM spoken WHERE ord % 4 = 0),
+query("vad_coverage", _SPOKEN + """, s AS (SELECT clip_id, start + 0.4 AS s, "end" + 0.4 AS e FROM spoken WHERE "end" - start >= 0.8), u AS (SELECT clip_id, start AS us, "end" AS ue FROM spoken WHERE ord % 4 = 0),
  p AS (SELECT s.clip_id, s, e, sum(CASE WHEN us IS NULL THEN 0.0 ELSE least(e, ue) - greatest(s, us) END) AS ov FROM s LEFT JOIN u ON s.clip_id = u.clip_id AND us < e AND ue > s GROUP BY s.clip_id, s, e)
  SELECT clip_id, count(*) AS n_segments, count(CASE WHEN ov / (e - s) < 0.5 THEN 1 END) AS n_uncovered, round(100 * sum(least(ov, e - s)) / sum(e - s), 1) AS covered_pct FROM p GROUP BY clip_id""")(
-    lambda s, d: timeline.verify_coverage(_heard(s, d).where("ord % 2 = 0"), _spoken(s, d).where("ord % 4 = 0")))
+    lambda s, d: timeline.verify_coverage(_heard(s, d), _spoken(s, d).where("ord % 4 = 0")))
 query("seam_ownership", _SPOKEN + """SELECT clip_id, ord, round(start + (ord % 3) * 50.0, 3) AS start FROM spoken WHERE start < 50.0 AND (ord % 3 = 0 OR start >= 0.5)""")(
     lambda s, d: timeline.seam_owned(_spoken(s, d).withColumn("idx", F.col("ord") % 3).withColumn("offset", (F.col("ord") % 3) * 50.0), 50.0).select("clip_id", "ord", F.round("start", 3).alias("start")))
 query("fixed_chunks", """WITH c AS (SELECT conv_id AS clip_id, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS duration FROM conversations GROUP BY conv_id)
@@ -186,12 +186,10 @@ query("smpte_drop_round_trip", "SELECT event_id, event_id * 37 AS frames FROM ev
     lambda s, d: table(s, d, "events").select("event_id", smpte.tc_to_frames(smpte.frame_to_tc_drop(F.col("event_id") * 37), F.lit(30)).alias("frames")))
 
 
-# ---- translations: a document against the next document, with placeholders and numbers mixed in; the queries with SQL read first lines only, as it does
+# ---- translations: a whole document against the next one, with placeholders and numbers mixed in
 
-def _translations(spark, sf_dir, whole=False):
+def _translations(spark, sf_dir):
     line = F.coalesce("text", F.lit(""))
-    if not whole:
-        line = F.regexp_extract(line, r"^[^\n]*", 0)
     mark = F.element_at(F.array(*map(F.lit, ("{name} 1,200", "%s 3.5", "[1] 47", "plain"))), (F.col("doc_id") % 4).cast("int") + 1)
     src = documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("src_lang"), F.concat(line, F.lit(" "), mark).alias("source_text"))
     mark2 = F.element_at(F.array(*map(F.lit, ("{name} 1200", "%s 3,5", "47", "plain"))), F.pmod(F.col("doc_id") - 1, F.lit(4)).cast("int") + 1)
@@ -199,8 +197,8 @@ def _translations(spark, sf_dir, whole=False):
     return src.join(tgt, "pair_id")
 
 
-_TR = r"""WITH p AS (SELECT s.doc_id AS pair_id, s.lang AS src, regexp_extract(coalesce(s.text, ''), '^[^\n]*') || ' ' || (['{name} 1,200', '%s 3.5', '[1] 47', 'plain'])[CAST(s.doc_id % 4 AS INT) + 1] AS s,
- regexp_extract(coalesce(t.text, ''), '^[^\n]*') || ' ' || (['{name} 1200', '%s 3,5', '47', 'plain'])[CAST((t.doc_id - 1) % 4 AS INT) + 1] AS t FROM documents s JOIN documents t ON t.doc_id = s.doc_id + 1)
+_TR = r"""WITH p AS (SELECT s.doc_id AS pair_id, s.lang AS src, coalesce(s.text, '') || ' ' || (['{name} 1,200', '%s 3.5', '[1] 47', 'plain'])[CAST(s.doc_id % 4 AS INT) + 1] AS s,
+ coalesce(t.text, '') || ' ' || (['{name} 1200', '%s 3,5', '47', 'plain'])[CAST((t.doc_id - 1) % 4 AS INT) + 1] AS t FROM documents s JOIN documents t ON t.doc_id = s.doc_id + 1)
 """
 _BAG = "SELECT pair_id, value, CASE WHEN sum(w) > 0 THEN 'missing' ELSE 'introduced' END AS side, CAST(abs(sum(w)) AS BIGINT) AS n FROM (SELECT pair_id, unnest({a}) AS value, 1 AS w FROM p UNION ALL SELECT pair_id, unnest({b}) AS value, -1 AS w FROM p) GROUP BY pair_id, value HAVING sum(w) <> 0"
 _PH = r"regexp_extract_all({}, '\{{\{{?\s*[\w.$-]+\s*\}}?\}}|%\(\w+\)[sdf]|%(?:\d+\$)?[sdf]|\[\d+\]|</?[a-zA-Z][\w:-]*(?:\s[^<>]*?)?/?>')"
@@ -214,8 +212,8 @@ query("length_band", _TR + r"""SELECT pair_id, printf('%.2f', floor(round(length
 query("passthrough_ratio", _TR + r""", w AS (SELECT pair_id, regexp_extract_all(lower(s), '[\pL\pN_]+') AS sw, regexp_extract_all(lower(t), '[\pL\pN_]+') AS tw FROM p WHERE src <> 'en')
  SELECT pair_id FROM w WHERE len(sw) > 0 AND len(list_filter(sw, lambda x: list_contains(tw, x))) / len(sw) >= 0.70""")(
     lambda s, d: translation.run_qa(_translations(s, d)).where("kind = 'untranslated_passthrough'").select("pair_id"))
-query("translation_qa")(lambda s, d: translation.run_qa(_translations(s, d, whole=True), s.createDataFrame([("en", "en", "the", "die")], "src_lang string, tgt_lang string, term string, rendering string")))
-query("translation_verdicts")(lambda s, d: translation.verdicts(_translations(s, d, whole=True), translation.run_qa(_translations(s, d, whole=True))))
+query("translation_qa")(lambda s, d: translation.run_qa(_translations(s, d), s.createDataFrame([("en", "en", "the", "die")], "src_lang string, tgt_lang string, term string, rendering string")))
+query("translation_verdicts")(lambda s, d: translation.verdicts(_translations(s, d), translation.run_qa(_translations(s, d))))
 query("glossary_miss", _TR + r"""SELECT pair_id FROM p WHERE src = 'en' AND regexp_matches(lower(s), '(?:^|[^\pL\pN_])the(?:$|[^\pL\pN_])') AND NOT regexp_matches(lower(t), '(?:^|[^\pL\pN_])and(?:$|[^\pL\pN_])')""")(
     lambda s, d: translation.run_qa(_translations(s, d), s.createDataFrame([("en-US", "en", "the", "and")], "src_lang string, tgt_lang string, term string, rendering string")).where("kind = 'glossary'").select("pair_id"))
 

@@ -21,3 +21,16 @@ def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings, with the matcher's own rule for frequent characters."""
     return pd.Series([difflib.SequenceMatcher(a=x or "", b=y or "").ratio() for x, y in zip(a, b)])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def resegmented(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Tokens b, parted as a parts them wherever a difference between the two is equal when joined."""
+
+    def one(x, y):
+        out = []
+        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes():
+            out += x[i1:i2] if op != "equal" and "".join(x[i1:i2]) == "".join(y[j1:j2]) else y[j1:j2]
+        return out
+
+    return pd.Series([one(list(x), list(y)) for x, y in zip(a, b)], dtype=object)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.align import opcodes, ratio
+from quillmark.functions.text import rejoined
 from quillmark.plans.rules import java
 
 # Families, measured reliability, and the floors of the gate.
@@ -39,19 +40,25 @@ def normalised(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Tokens by blanks; characters of Han and Kana stand alone."""
+    """Tokens by blanks; characters of Han and Kana stand alone, wherever they are."""
     return F.regexp_extract_all(text, F.lit(java(rf"{CJK}|(?:(?!{CJK})\S)+")), F.lit(0))
 
 
-def cleaned(reads: DataFrame, reliability: DataFrame | None = None) -> DataFrame:
-    """Non-empty reads without annotations in brackets, with family, norm and reliability (a table (lang, witness, reliability) wins over the priors)."""
-    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\(\[][^\)\]]{0,40}[\)\]]", " "))
-    rows = reads.withColumn("text", text).where("text <> ''").withColumn("family", family(F.col("witness"))).withColumn("norm", normalised(F.col("text"))).withColumn("base", base(F.col("witness")))
+def ordered(reads: DataFrame) -> DataFrame:
+    """reads with ord, their order in the panel: their own, or else the witness's name."""
+    return reads if "ord" in reads.columns else reads.withColumn("ord", F.col("witness"))
+
+
+def cleaned(reads: DataFrame, reliability: DataFrame | None = None, annotations: bool = False) -> DataFrame:
+    """Non-empty reads in panel order, without annotations in brackets unless they are wanted, with family, norm and reliability (a table (lang, witness, reliability) wins over the priors)."""
+    text = F.coalesce("text", F.lit(""))
+    text = F.trim(text if annotations else F.regexp_replace(text, r"[\(\[][^\)\]]{0,40}[\)\]]", " "))
+    rows = ordered(reads).withColumn("text", text).where("text <> ''").withColumn("family", family(F.col("witness"))).withColumn("norm", normalised(F.col("text"))).withColumn("base", base(F.col("witness")))
     prior = _dim(RELIABILITY, F.col("base"), F.lit(UNKNOWN_RELIABILITY))
     if reliability is None:
         return rows.withColumn("rel", prior)
     own = reliability.select("lang", F.col("witness").alias("base"), F.col("reliability").alias("own"))
-    return rows.join(F.broadcast(own), ["lang", "base"], "left").withColumn("rel", F.coalesce("own", prior)).drop("own")
+    return rows.join(own, ["lang", "base"], "left").withColumn("rel", F.coalesce("own", prior)).drop("own")
 
 
 def family_agreement(reads: DataFrame) -> DataFrame:
@@ -72,19 +79,22 @@ def centrality(rows: DataFrame) -> DataFrame:
     return rows.select("clip_id", "witness").join(pairs.groupBy("clip_id", F.col("wa").alias("witness")).agg(F.sum("d").alias("distance")), ["clip_id", "witness"], "left").na.fill(0.0, ["distance"])
 
 
-def medoid(reads: DataFrame) -> DataFrame:
-    """(clip_id, witness, text): the read that is nearest to the clip's others; of ties the first by name."""
-    rows = cleaned(reads)
+def _nearest(rows: DataFrame) -> DataFrame:
     near = rows.join(centrality(rows), ["clip_id", "witness"])
-    return near.groupBy("clip_id").agg(F.min(F.struct("distance", "witness", "text")).alias("m")).select("clip_id", "m.witness", "m.text")
+    return near.groupBy("clip_id").agg(F.min(F.struct("distance", "ord", "witness", "text")).alias("m")).select("clip_id", "m.witness", "m.text")
+
+
+def medoid(reads: DataFrame) -> DataFrame:
+    """(clip_id, witness, text): the read that is nearest to the clip's others; of ties the first in the panel."""
+    return _nearest(cleaned(reads))
 
 
 def vote(reads: DataFrame) -> DataFrame:
-    """(clip_id, text, by): the text of two families or more, else the medoid's."""
-    rows = cleaned(reads)
-    top = rows.groupBy("clip_id", "norm").agg(F.countDistinct("family").alias("n"), F.min(F.struct("witness", "text")).alias("r"))
-    best = top.groupBy("clip_id").agg(F.max_by(F.struct("n", "r"), F.struct("n", F.col("norm"))).alias("b")).select("clip_id", F.col("b.n").alias("n"), F.col("b.r.text").alias("agreed"))
-    mid = medoid(reads).select("clip_id", "text")
+    """(clip_id, text, by): the text of two families or more, of ties the one read first, else the medoid's. Annotations are part of a text here."""
+    rows = cleaned(reads, annotations=True)
+    top = rows.groupBy("clip_id", "norm").agg(F.countDistinct("family").alias("n"), F.min(F.struct("ord", "witness", "text")).alias("r"))
+    best = top.groupBy("clip_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "r")).alias("b")).select("clip_id", (-F.col("b.n")).alias("n"), F.col("b.r.text").alias("agreed"))
+    mid = _nearest(rows).select("clip_id", "text")
     return best.join(mid, "clip_id").select("clip_id", F.when(F.col("n") >= 2, F.col("agreed")).otherwise(F.col("text")).alias("text"), F.when(F.col("n") >= 2, "family").otherwise("medoid").alias("by"))
 
 
@@ -130,7 +140,8 @@ def consensus_tokens(reads: DataFrame, lexicon: DataFrame | None = None, reliabi
               .otherwise(F.col("own.surface")))
     decided = place.withColumn("winner", winner).withColumn("contested", (F.size("c") > 1) & (F.lower("winner") == F.col("backbone"))).withColumn("changed", (F.size("c") > 1) & (F.lower("winner") != F.col("backbone")))
     whole = decided.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("i", "winner"))).alias("t"), F.count(F.lit(1)).alias("tokens"), F.count_if("contested").alias("contested"), F.count_if("changed").alias("changed"))
-    return whole.select("clip_id", F.array_join("t.winner", " ").alias("text"), "tokens", "contested", "changed")
+    lone = cleaned(reads).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("only")).where("n = 1").select("clip_id", "only")  # returned as it is read
+    return whole.join(lone, "clip_id", "left").select("clip_id", F.coalesce("only", F.when(F.exists("t.winner", lambda w: w.rlike(CJK)), rejoined(F.col("t.winner"))).otherwise(F.array_join("t.winner", " "))).alias("text"), "tokens", "contested", "changed")
 
 
 def gate(reads: DataFrame, decided: DataFrame, health: DataFrame | None = None, strict: bool = False) -> DataFrame:

@@ -38,7 +38,6 @@ LEGAL = [
 ]
 PERSONAL = [*_table(W.APOSTROPHES), (java(r"\b[Ii]m\b"), "I'm")]
 SETS = {"default": DEFAULT, "legal": LEGAL, "personal": PERSONAL}
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
 def corrected(body: Column, fixers: list[tuple[str, str]], fold_accents: bool = False) -> Column:
@@ -47,7 +46,7 @@ def corrected(body: Column, fixers: list[tuple[str, str]], fold_accents: bool =
     for rx, to in fixers:
         out = F.regexp_replace(out, rx, to)
     if fold_accents:
-        out = F.translate(out, ACCENTED, PLAIN)
+        out = F.translate(out, W.ACCENTED, W.PLAIN)
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), "　{2,}", "　")
     return F.regexp_replace(F.regexp_replace(out, r"[ \t　]+([,.;:?!、。？！」』）])", "$1"), java(r"\s+$"), "")
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.align import resegmented
+from quillmark.functions.text import number_canonical, script_folded
 from quillmark.plans.rules import java
 
 CJK = "[぀-ヿ㐀-䶿一-鿿가-힣]"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words; characters of scripts without blanks stand alone."""
+    """Lower-case words; characters of scripts without blanks stand alone where they begin a token."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), java(r"[^\w\s']"), " ")
-    return F.regexp_extract_all(plain, F.lit(java(rf"{CJK}|(?:(?!{CJK})\S)+")), F.lit(0))
+    return F.regexp_extract_all(plain, F.lit(java(rf"{CJK}|\S+")), F.lit(0))
 
 
 def characters(text: Column) -> Column:
@@ -37,16 +39,32 @@ def rate(distance: Column, size: Column, other: Column) -> Column:
     return F.when(size == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(F.round(distance / size, 4))
 
 
-def wer(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """pairs with wer."""
-    rows = pairs.withColumn("_r", tokens(F.col(ref))).withColumn("_h", tokens(F.col(hyp)))
+def equalised(text: Column, lang: Column | None = None, numbers: bool = True) -> Column:
+    """A text as it is scored: numbers in digits, spellings that sound alike made equal. Without a lang it is English."""
+    lang = F.lit("en") if lang is None else F.coalesce(lang, F.lit("en"))
+    folded = script_folded(F.coalesce(text, F.lit("")), lang)
+    return number_canonical(folded) if numbers else folded
+
+
+def wer(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", lang: str | None = None, numbers: bool = True) -> DataFrame:
+    """pairs with wer. numbers: their formatting doesn't count. lang: the column with the language, else English.
+
+    In Arabic and Urdu where words are parted is a matter of spelling, so differences that are equal when joined don't count.
+    """
+    language = F.col(lang) if lang else None
+    scored = (lambda c: equalised(F.col(c), language, numbers)) if numbers else (lambda c: F.col(c))
+    rows = pairs.withColumn("_r", tokens(scored(ref))).withColumn("_h", tokens(scored(hyp)))
+    if lang:
+        rows = rows.withColumn("_h", F.when(F.col(lang).isin("ar", "ur"), resegmented("_r", "_h")).otherwise(F.col("_h")))
     return rows.withColumn("wer", rate(token_distance(F.col("_r"), F.col("_h")), F.size("_r"), F.size("_h"))).drop("_r", "_h")
 
 
-def cer(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """pairs with cer."""
-    r, h = characters(F.col(ref)), characters(F.col(hyp))
-    return pairs.withColumn("cer", rate(F.levenshtein(r, h), F.length(r), F.length(h)))
+def cer(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", lang: str | None = None, numbers: bool = True) -> DataFrame:
+    """pairs with cer, by the same rules as wer but for the parting of words, which never counts."""
+    language = F.col(lang) if lang else None
+    scored = (lambda c: equalised(F.col(c), language, numbers)) if numbers else (lambda c: F.col(c))
+    rows = pairs.withColumn("_r", characters(scored(ref))).withColumn("_h", characters(scored(hyp)))
+    return rows.withColumn("cer", rate(F.levenshtein("_r", "_h"), F.length("_r"), F.length("_h"))).drop("_r", "_h")
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -56,10 +74,8 @@ def _grams(text: Column, n: int) -> Column:
 
 def chrf(pairs: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp", orders: int = 6, beta: float = 2.0) -> DataFrame:
     """(key, chrf): mean n-gram precision and recall over the orders, as an F-score of three digits."""
-    sides = [pairs.select(key, F.lit(side).alias("side"), F.lit(n).alias("n"), F.explode(_grams(F.col(col), n)).alias("g")) for n in range(1, orders + 1) for side, col in (("r", ref), ("h", hyp))]
-    rows = sides[0]
-    for s in sides[1:]:
-        rows = rows.unionByName(s)
+    lists = F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(F.col(col), n).alias("gs")) for n in range(1, orders + 1) for side, col in (("r", ref), ("h", hyp))))
+    rows = pairs.select(key, F.inline(lists)).select(key, "side", "n", F.explode("gs").alias("g"))  # one scan for all orders and sides
     per = rows.groupBy(key, "n", "g").agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "h").alias("h"))
     order = per.groupBy(key, "n").agg(F.sum(F.least("r", "h")).alias("m"), F.sum("r").alias("r"), F.sum("h").alias("h"))
     means = order.groupBy(key).agg(F.avg(F.when(F.col("h") > 0, F.col("m") / F.col("h"))).alias("p"), F.avg(F.when(F.col("r") > 0, F.col("m") / F.col("r"))).alias("q"))

@@ -15,8 +15,8 @@ SLACK, SHORTEST, COVERED = 0.01, 0.8, 0.5
 
 
 def speaker_at(points: DataFrame, turns: DataFrame) -> DataFrame:
-    """points(clip_id, t, ...) with speaker: the first turn that holds t, else the last one that began before, in list order (start, ord)."""
-    spoken = turns.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "speaker"))).alias("turns"))
+    """points(clip_id, t, ...) with speaker: the first turn that holds t, else the last one that began before, in list order (ord)."""
+    spoken = turns.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "speaker"))).alias("turns"))
     holds = F.expr(f"filter(turns, x -> x.start <= t AND t <= coalesce(x.end, x.start) + {SLACK})")
     before = F.expr("filter(turns, x -> x.start <= t)")
     speaker = F.when(F.size(holds) > 0, F.get(holds, 0)["speaker"]).when(F.size(before) > 0, F.element_at(before, -1)["speaker"])

@@ -35,6 +35,20 @@ def _full(pattern: str):
 
 # ---- base pack: mechanical checks of any transcript
 
+# White space of all kinds, as a strip of Unicode text takes it.
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def stripped(column: str, left: bool = True):
+    """A column without white space at its ends, or only at its right end."""
+    return F.regexp_replace(column, (rf"^{_BLANK}+|" if left else "") + rf"{_BLANK}+\z", "")
+
+
+def stripped_sql(column: str, left: bool = True) -> str:
+    right = f"regexp_replace({column}, '{_BLANK}+$', '')"
+    return f"regexp_replace({right}, '^{_BLANK}+', '')" if left else right
+
+
 TIMESTAMPS = _s("timestamps", Rule("timestamps", "moderate", r"[\[\(]\s*\d{1,2}:\d{2}(?::\d{2})?\s*[\]\)]", keep=_full(r"\[\d{2}:\d{2}:\d{2}\]"),
     sql=r"list_filter(regexp_extract_all(text, '[\[\(]\s*\d{1,2}:\d{2}(?::\d{2})?\s*[\]\)]'), lambda x: NOT regexp_full_match(x, '\[\d{2}:\d{2}:\d{2}\]'))"))
 SPEAKER_LABELS = _s("speaker_labels", Rule("speaker_labels", "moderate", r"^\s*[^:]{1,40}?:\s", first=True, keep=lambda x: F.trim(x).contains("?") & ~F.trim(x).startswith("?"), evidence=trim,
@@ -46,15 +60,16 @@ FILLERS = _s("fillers",
     Rule("fillers", "minor", r"(?<![ぁ-ん])" + W.any_of(W.CASUAL_KANA) + r"(?![ぁ-ん])", "body", mode="clean_verbatim", absent=True),
     Rule("fillers", "minor", r"(?<![ぁ-ん])(なんか|まぁ|まあ)(?![ぁ-ん])", "body", mode="clean_verbatim", absent=True))
 SPACING = _s("spacing",
-    _line("spacing", "minor", lambda: F.trim("text").contains("  ") | F.trim("text").contains("　　"), lambda: F.lit("  …  "), sql="CASE WHEN contains(trim(text), '  ') THEN ['  …  '] END"),
+    _line("spacing", "minor", lambda: stripped("text").contains("  ") | stripped("text").contains("　　"), lambda: F.lit("  …  "), sql=f"CASE WHEN contains({stripped_sql('raw')}, '  ') OR contains({stripped_sql('raw')}, '　　') THEN ['  …  '] END"),
     Rule("spacing", "minor", r"\S[ 　]+[,.;:?!、。？！」』）]", first=True, sql=r"CASE WHEN regexp_matches(text, '\S +[,.;:?!]') THEN [regexp_extract(text, '\S +[,.;:?!]')] END"))
 EXCLAMATION = _s("no_exclamation", _line("no_exclamation", "moderate", lambda: F.col("text").rlike("[!！]"), lambda: F.lit("! / ！"), sql="CASE WHEN regexp_matches(text, '[!！]') THEN ['! / ！'] END"))
+_BODY = stripped_sql(r"regexp_replace(raw, '^\s*[^:]{1,40}?:\s', '')", left=False)
 TERMINAL = _s("terminal_punctuation", _line("terminal_punctuation", "minor",
-    lambda: F.col("has_terminal") & (F.rtrim("body") != "") & ~F.rtrim("body").rlike("(?:--|\\]|-|[。？」』）】〕.?])$"),
-    lambda: F.concat(F.lit("…"), F.expr("substring(rtrim(body), greatest(length(rtrim(body)) - 7, 1), 8)")),
-    sql=r"CASE WHEN has_terminal AND rtrim(body) <> '' AND NOT regexp_matches(rtrim(body), '(--|\]|-|[。？」』）】〕.?])$') THEN ['…' || substr(rtrim(body), greatest(length(rtrim(body)) - 7, 1), 8)] END"))
-PARAGRAPH = _s("paragraph_length", _line("paragraph_length", "minor", lambda: F.length(F.trim("text")) > 250, lambda: F.concat(F.length(F.trim("text")).cast("string"), F.lit(" chars")),
-    sql="CASE WHEN length(trim(text)) > 250 THEN [length(trim(text)) || ' chars'] END"))
+    lambda: F.col("has_terminal") & (stripped("body", left=False) != "") & ~stripped("body", left=False).rlike("(?:--|\\]|-|[。？」』）】〕.?])$"),
+    lambda: F.concat(F.lit("…"), F.right(stripped("body", left=False), F.lit(8))),
+    sql=rf"CASE WHEN has_terminal AND {_BODY} <> '' AND NOT regexp_matches({_BODY}, '(--|\]|-|[。？」』）】〕.?])$') THEN ['…' || substr({_BODY}, greatest(length({_BODY}) - 7, 1), 8)] END"))
+PARAGRAPH = _s("paragraph_length", _line("paragraph_length", "minor", lambda: F.length(stripped("text")) > 250, lambda: F.concat(F.length(stripped("text")).cast("string"), F.lit(" chars")),
+    sql=f"CASE WHEN length({stripped_sql('raw')}) > 250 THEN [length({stripped_sql('raw')}) || ' chars'] END"))
 ENGLISH_FORMAT = _s("en_format",
     *(Rule("slang", "moderate", rf"\b{w}\b", fold=True, first=True, evidence=_always(w), sql=f"CASE WHEN regexp_matches(text, '(?i)\\b{w}\\b') THEN ['{w}'] END") for w in (*W.SLANG_ENGLISH, *W.YES_FORMS)),
     Rule("okay", "moderate", r"\b(?:OK|Ok|okay)\b"),
@@ -72,6 +87,7 @@ BASE = (TIMESTAMPS, SPEAKER_LABELS, INAUDIBLE, FILLERS, SPACING, EXCLAMATION, TE
 
 # ---- legal
 
+_LEGAL_BODY = r"regexp_replace(raw, '^\s*(?:[A-Z][A-Z .''-]{0,38}|Q|A)\s{2,}|^\s*[^:]{1,40}?:\s', '')"
 LEGAL_CORE = (
     _s("legal_tags",
         Rule("legal_tag", "moderate", r"\((?:inaudible|unintelligible)\)", fold=True),
@@ -79,7 +95,7 @@ LEGAL_CORE = (
         Rule("legal_tag", "moderate", r"\[\s*(?:inaudable|unintelligable|unintellligible|inadible)\s*\]", fold=True),
         Rule("legal_tag", "moderate", r"\((?:laughs?|laughter|crosstalk|applause|sighs?|coughs?|pause|silence|phonetic|sic)\)", fold=True)),
     _s("legal_spacing",
-        _line("legal_spacing", "minor", lambda: F.trim("body_legal").contains("  "), lambda: F.lit("  "), sql=r"""CASE WHEN contains(trim(body_legal), '  ') THEN ['  '] END"""),
+        _line("legal_spacing", "minor", lambda: stripped("body_legal").contains("  "), lambda: F.lit("  "), sql=f"CASE WHEN contains({stripped_sql(_LEGAL_BODY)}, '  ') THEN ['  '] END"),
         Rule("legal_spacing", "minor", r"\S +[,.;:?]", "legal", first=True, sql=r"""CASE WHEN regexp_matches(regexp_replace(raw, '^\s*(?:[A-Z][A-Z .''-]{0,38}|Q|A)\s{2,}|^\s*[^:]{1,40}?:\s', ''), '\S +[,.;:?]') THEN [regexp_extract(regexp_replace(raw, '^\s*(?:[A-Z][A-Z .''-]{0,38}|Q|A)\s{2,}|^\s*[^:]{1,40}?:\s', ''), '\S +[,.;:?]')] END""")),
     _s("legal_dash_form", Rule("legal_dash_form", "moderate", r"[—–]", "legal"),
         Rule("legal_dash_form", "moderate", r"\w\s+-\s*$", "legal", first=True, evidence=lambda x: F.expr("right(body_legal, 12)"), sql=r"""CASE WHEN regexp_matches(body_legal, '\w\s+-\s*$') THEN [right(body_legal, 12)] END""")),
@@ -98,7 +114,7 @@ LEGAL_ENGLISH = (
              sql=rf"list_filter(regexp_extract_all(text, '\b(?:{W.TITLES})\s+[A-Z][a-z]+'), lambda x: string_split(x, ' ')[-1] NOT IN {W.NOT_NAMES})")),
     _s("legal_numbers", Rule("legal_number", "moderate", r"\d[\d,.]*\s?%", "legal"),
         Rule("legal_number", "review", r"\b(?:eleven|twelve|thir|four|fif|six|seven|eigh|nine)teen\b|\b(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)\b", "legal", fold=True)),
-    _s("legal_accents", Rule("legal_accent", "moderate", r"\b\w*[^\x00-\x7F]\w*\b", keep=lambda x: x.rlike(r"[\p{L}&&[^\x00-\x7F]]") & (F.translate(x, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY") != x), sql=r"""list_filter(regexp_extract_all(raw, '[\pL\pN_]*[^\x00-\x7F][\pL\pN_]*'), lambda x: translate(x, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY') <> x)""")),
+    _s("legal_accents", Rule("legal_accent", "moderate", r"\b\w*[^\x00-\x7F]\w*\b", keep=lambda x: x.rlike(r"[\p{L}&&[^\x00-\x7F]]") & (F.translate(x, W.ACCENTED, W.PLAIN) != x), sql=rf"""list_filter(regexp_extract_all(raw, '[\pL\pN_]*[^\x00-\x7F][\pL\pN_]*'), lambda x: translate(x, '{W.ACCENTED}', '{W.PLAIN}') <> x)""")),
     _s("legal_ampm", Rule("legal_ampm", "moderate", r"\b[ap]\.m\.", "legal", fold=True)),
     _s("legal_grammar", Rule("legal_grammar", "moderate", r"\b(?:could|should|would|must)\s+of\b", "legal", fold=True), Rule("legal_grammar", "moderate", rf"\byou're\s+(?:{W.OWNED})\b", "legal", fold=True),
         Rule("legal_grammar", "moderate", rf"\b(?:there|they're)\s+(?:{W.OWNED})\b", "legal", fold=True), Rule("legal_grammar", "moderate", rf"\bit's\s+(?:{W.OWNED})\b", "legal", fold=True), Rule("legal_grammar", "review", r"\btheir\s+(?:is|are|was|were)\b", "legal", fold=True)),

@@ -1,5 +1,7 @@
 """Word lists and patterns that several packs share."""
 
+import unicodedata
+
 # Tables of the style guides, as they must be for equal results.
 SLANG_LEGAL = {"sorta": "sort of", "kinda": "kind of", "wanna": "want to", "gonna": "going to", "gotta": "got to", "coulda": "could have", "shoulda": "should have", "woulda": "would have", "cuz": "because", "ya": "you", "yep": "yes (or yeah)", "yup": "yes (or yeah)"}
 SLANG_ENGLISH = {"gonna": "going to", "wanna": "want to", "gotta": "got to", "gotcha": "got you", "kinda": "kind of", "sorta": "sort of", "betcha": "bet you", "dunno": "don't know", "lemme": "let me", "gimme": "give me", "cuz": "because", "cause": "because", "outta": "out of", "hafta": "have to", "coulda": "could have", "shoulda": "should have", "woulda": "would have", "ya": "you"}
@@ -47,3 +49,7 @@ def any_of(words) -> str:
 
 def longest_first(words) -> str:
     return any_of(sorted(words, key=len, reverse=True))
+
+# Rule: letters that decompose into one ASCII letter and marks, and that letter.
+_FOLDS = {c: b for c in map(chr, range(0x80, 0x1F00)) if len(b := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1 and b.isalpha()}
+ACCENTED, PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
