@@ -133,8 +133,8 @@ def _least_of(edges: DataFrame) -> DataFrame:
 def merged_labels(edges: DataFrame) -> Kept | None:
     """(x, p): for every end x of the undirected edges (a, b) of long ids, the least id p that it reaches; None without edges.
 
-    While there are more than TASK_EDGES edges, a round gives every end of an edge the least label around it, jumps pointers twice, and
-    relabels the edges, of which those inside a component go. A hub that holds many edges is aggregated map-side (a
+    While there are more than TASK_EDGES edges, a round gives every end of an edge the least label around it, jumps pointers to the roots, and
+    relabels the edges, of which those inside a tree go; of the ends at most half are left. A hub that holds many edges is aggregated map-side (a
     minimum), and labels are joined over salted ids. The edges that are left, a bounded number, are one task's work. None reach the driver.
     """
     links = Kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
@@ -145,9 +145,13 @@ def merged_labels(edges: DataFrame) -> Kept | None:
         else:
             both = links.df.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.df.select(F.col("b"), F.col("a")))
             hook = Kept(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p")))  # a label is never above its id: a forest
-            for _ in range(2):
+            jumped = 1
+            while jumped:  # each jump halves the way to a tree's root
                 up = spread(hook.df, hook.df.select(F.col("x").alias("p"), F.col("p").alias("pp")), hook.bytes, "p", "left")
-                hook = Kept(up.select("x", F.coalesce("pp", "p").alias("p")))
+                up = Kept(up.select("x", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") < F.col("p")).cast("int").alias("c")), F.col("c"))
+                hook.drop()
+                hook, jumped = up, up.bytes
+                hook.df, hook.bytes = up.df.select("x", "p"), 48 * up.rows
         old = links
         if moved is None:
             moved = hook

@@ -115,14 +115,14 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def sweep(waiting: dict[int, int], free: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, list[tuple[int, int, int]]]], int]:
-    """One round: (entries, sequences to open) for the waiting pieces by length and the free gaps by size.
+def sweep(waiting: dict[int, int], free: dict[int, int], capacity: int = CAPACITY, placed: dict[int, int] | None = None) -> tuple[list[tuple[int, int, int, list[tuple[int, int, int]]]], int]:
+    """One round: (entries, sequences to open) for the waiting pieces by length and the free gaps by size; placed: the ranks of each length that earlier rounds took.
 
     An entry (gap, first, many, runs) says that of the gaps of a size those with ranks first, first + 1 ... take the runs; a run
     (length, rank, take) is that each of them takes so many pieces of a length, ranks counted on from one gap to the next.
     """
     lengths = sorted((n for n in waiting if waiting[n]), reverse=True)
-    left, rank, free = dict(waiting), dict.fromkeys(lengths, 0), dict(free)
+    left, rank, free = dict(waiting), {n: (placed or {}).get(n, 0) for n in lengths}, dict(free)
     used, entries, opened, most_left = dict.fromkeys(free, 0), [], 0, 0
     sizes = sorted(g for g in free if free[g])
     for i, length in enumerate(lengths):
@@ -249,9 +249,9 @@ def pack(thin: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = thin.sparkSession
     thin = cut(thin)
     ordered = _Sorted(thin, max(4, thin.rdd.getNumPartitions()), "length", "doc_id", "piece")
-    waiting, free, gaps, opened, given = dict(ordered.total), {}, None, 0, None
+    waiting, placed, free, gaps, opened, given = dict(ordered.total), {}, {}, None, 0, None
     while waiting:
-        entries, more = sweep(waiting, free, capacity)
+        entries, more = sweep(waiting, free, capacity, placed)
         fresh = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
         rows = fresh if gaps is None else gaps.where(F.col("gap") >= min(waiting)).union(fresh)
         opened, free[capacity] = opened + more, free.get(capacity, 0) + more
@@ -267,6 +267,7 @@ def pack(thin: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             free[room] = free.get(room, 0) + many
             for n, _, take in runs:
                 waiting[n] -= take * many
+                placed[n] = placed.get(n, 0) + take * many
         waiting = {n: k for n, k in waiting.items() if k}
         free = {g: k for g, k in free.items() if k and waiting and g >= min(waiting)}
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in thin.schema.fields)

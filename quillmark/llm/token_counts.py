@@ -8,8 +8,9 @@ distinct new words of a batch together, one byte column at a time, and word coun
 A word is a maximal run without white space (str.split()); it is matched with one blank before it, as byte-level
 vocabularies mark a word's begin. Every single byte must be a token, so every word has a tokenisation.
 
-Defined results: null, empty and white texts have 0 words and 0 tokens; very long words are stepped like any other; repeated
-rows are counted each; other columns are not read. There is no shuffle.
+Defined results: null, empty and white texts have 0 words and 0 tokens; very long texts and words are stepped like any other; of
+tokens that match at a place the longest is taken, so there are no ties; repeated rows are counted each; a null doc_id is kept; an
+empty table gives no rows; other columns are not read, so their names can't clash. There is no shuffle.
 """
 
 from __future__ import annotations

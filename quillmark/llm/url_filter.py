@@ -6,9 +6,11 @@ A level's rate has a beta prior whose mean is the posterior mean of the level ab
 beta-binomial moment estimate over all labelled units of that level. A page without a rule is blocked when the lower posterior
 bound of its host's block rate (mean less Z standard deviations) is above BLOCK_AT. A host, domain or suffix without
 outcomes simply keeps its prior. The three moment estimates are single-row aggregates; the rest are joins on host, domain and suffix.
+Pages meet their host's reputation by broadcast under a bound of bytes, else over salted hosts, so that a hot host is many tasks.
 
-Defined results: a null url or one without "://" has empty host and path, no rule, and the verdict of the prior; an empty
-table gives an empty table; repeated rows are outcomes of their own; other columns are not read.
+Defined results: a null url or one without "://" has empty host and path, no rule, and the verdict of the prior; very long urls are
+read whole; of rules that fit the longest wins, of equally long ones the last by name; an empty table gives an empty table; repeated
+rows are outcomes of their own; a null page_id is kept; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import table
+from quillmark.llm.common import Kept, spread, table
 
 #: Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -81,8 +83,9 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    known = Kept(reputation(rows), F.octet_length("host") + 64)
     method = F.when(F.col("bound") > BLOCK_AT, "block").otherwise("allow")
-    return rows.join(reputation(rows), "host").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"))
+    return spread(rows, known.df, known.bytes, "host").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

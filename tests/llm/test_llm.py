@@ -133,13 +133,13 @@ def test_packing_splits_as_the_library_at_every_code_point():
 
 def _rounds(lengths, capacity):
     """The sweeps' rounds one gap at a time: {sequence: pieces}, rounds."""
-    waiting, held, rounds = {n: lengths.count(n) for n in set(lengths)}, [], 0
+    waiting, held, rounds, placed, ranks = {n: lengths.count(n) for n in set(lengths)}, [], 0, {}, set()
     while waiting:
         free = {}
         for h in held:
             free[capacity - sum(h)] = free.get(capacity - sum(h), 0) + 1
         free.pop(0, None)
-        entries, more = packing.sweep(waiting, free, capacity)
+        entries, more = packing.sweep(waiting, free, capacity, placed)
         held += [[] for _ in range(more)]
         by = {}
         for h in held:
@@ -150,10 +150,15 @@ def _rounds(lengths, capacity):
                 assert (gap, k) not in seen
                 seen.add((gap, k))
                 by[gap][k] += [n for n, _, take in runs for _ in range(take)]
-            for n, _, take in runs:
+            for n, rank, take in runs:
+                own = {(n, rank + x) for x in range(take * many)}
+                assert not own & ranks
+                ranks |= own
                 waiting[n] -= take * many
+                placed[n] = placed.get(n, 0) + take * many
         waiting = {n: k for n, k in waiting.items() if k}
         rounds += 1
+    assert ranks == {(n, k) for n in set(lengths) for k in range(lengths.count(n))}
     return held, rounds
 
 
@@ -202,6 +207,38 @@ def test_near_dedup(docs, none, texts):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in sets if find(i) == i}
 
 
+def test_near_dedup_beyond_the_bound_and_of_odd_ids(spark, docs, texts, monkeypatch):
+    """Salted joins and distributed labels in place of broadcasts and one task; repeated and null ids."""
+    from quillmark.llm import common
+
+    want = sorted(map(tuple, minhash_dedup.near_dedup(docs).collect()))
+    for module in (common, minhash_dedup):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "SALTS", 3)
+    assert sorted(map(tuple, minhash_dedup.near_dedup(docs).collect())) == want
+    monkeypatch.undo()
+    one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, one), (5, one), (3, one + " more"), (None, one), (7, two), (7, two + " end"), (2, two + " last"), (9, None), (9, "")]
+    got = minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [
+        ("2", "2", True), ("3", "3", True), ("5", "3", False), ("5", "3", False), ("7", "2", False), ("7", "2", False), ("9", "9", True), ("9", "9", True), ("None", "None", True)]
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """A chain, a star and loose pairs, by one task and by distributed rounds."""
+    from quillmark.llm import common
+
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(100, 120)] + [(7, 200 + k) for k in range(50)] + [(300 + 2 * k, 301 + 2 * k) for k in range(20)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([(b, a) for a, b in edges] + edges[:9] + [(5, 5)], "a long, b long")
+    want = {**{k: 100 for k in range(100, 121)}, **{200 + k: 7 for k in range(50)}, 7: 7, **{300 + k: 300 + k // 2 * 2 for k in range(40)}}
+    for most in (10**6, 8):
+        monkeypatch.setattr(common, "TASK_EDGES", most)
+        assert {r["x"]: r["p"] for r in common.merged_labels(df).df.collect()} == want
+    assert common.merged_labels(df.where("a = b")) is None
+
+
 def test_near_dedup_of_one_hot_group(spark):
     """Edited copies of one text, some of which link only through others."""
     rng = random.Random(8)
@@ -414,6 +451,18 @@ def test_urls(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_of_odd_rows(spark, monkeypatch):
+    """Repeated rows, a null id, a very long url and clashing names, by broadcast and over salted hosts."""
+    from quillmark.llm import common
+
+    rows = [(1, "http://bad.net/a"), (1, "http://bad.net/a"), (None, "http://bad.net"), (2, "http://x.org/" + "p/" * 100_000), (3, None)]
+    df = spark.createDataFrame([(*r, "h", "p", 1, 2, "v") for r in rows], "page_id long, url string, host string, path string, n int, k int, bound string")
+    for most in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        got = sorted((str(r["page_id"]), r["host"], len(r["path"]), r["rule"]) for r in url_filter.url_filter(df).collect())
+        assert got == [("1", "bad.net", 2, "net/"), ("1", "bad.net", 2, "net/"), ("2", "x.org", 200_001, None), ("3", "", 0, None), ("None", "bad.net", 0, None)]
+
+
 def _page(k, body, extra=""):
     return f"<!DOCTYPE html><html><head><title>t{k}</title><script>var x='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class=\"ad\">Buy {k}</div>{extra}<article><h1>Head {k}</h1>{body}<div class='comments'><p>me too {k}</p></div></article><aside>more {k}</aside><footer>&copy; us</footer></body></html>"
 
@@ -646,27 +695,72 @@ def test_toxicity_against_a_plain_recount(spark):
     assert {r["score"] for r in toxicity.toxicity(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0.0}
 
 
-def test_pipeline_stages(spark, docs, texts, tmp_path):
-    """The stages' rows against the operators' own brute force, composed."""
+def test_pipeline_stages(spark, texts, tmp_path):
+    """The stages' rows against brute force, one stage after the other, with toxic, equal and near texts, odd ids and clashing names."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    full = docs
-    full.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 0, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rng = random.Random(30)
+    clean = [f"m{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    rows = [(i, t) for i, t in texts.items()]
+    for i in range(1000, 1200):
+        w = [rng.choice(clean) for _ in range(30)]
+        if i % 4 == 0:
+            for k in rng.sample(range(30), 4):
+                w[k] = rng.choice(("scumbag", "m0ronic"))
+        rows.append((i, " ".join(w)))
+    rows += [(3000, "you scumbag scumbags moronic"), (None, "a text without an id of its own"), (55, rows[20][1])]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _kept string, _spans int, digest string, key int"
+    spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), "clash", 1, "x", 2) for r in rows], kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(1000, 1200)] + [(None, 0, 1), (0, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "suffix dedup", "packing"]
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    norm, keep = {}, {}
-    for i, t in texts.items():
-        n = re.sub(r"[\x20\x09-\x0D]", "", t or "")
-        if n not in norm or (-len(t or ""), i) < (-len(texts[norm[n]] or ""), norm[n]):
-            norm[n] = i
-    left = sorted(norm.values())
-    sets = {i: _shingles(texts[i]) for i in left}
-    root = {i: i for i in left}
-    for a in left:
-        for b in left:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                ra, rb = root[a], root[b]
-                root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
-    keep = {i for i in left if root[i] == i}
-    assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == keep
+
+    planted = {3000, *range(1000, 1200, 4)}
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    judged = {(r["doc_id"], r["text"]): r["score"] >= 0.5 for r in toxicity.scored(docs, toxicity.fit(docs, labels)).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    rejected = {k for k, v in judged.items() if v}  # a plain recount of the scores is a test of its own
+    assert planted <= {i for i, _ in rejected} and len(rejected) <= len(planted) + 8
+    left = [r for r in rows if r not in rejected]
+    norm = {}
+    for i, t in left:
+        n, rank = re.sub(r"[\x20\x09-\x0D]", "", t or ""), (-len(t or ""), 2**63 if i is None else i)
+        if n not in norm or rank < norm[n][0]:
+            norm[n] = (rank, i, t)
+    left = sorted(((i, t) for _, i, t in norm.values()), key=lambda r: (r[0] is None, r[0]))
+    sets = [(i, _shingles(t)) for i, t in left]
+    root = {i: i for i, _ in sets}
+    for a, x in sets:
+        for b, y in sets:
+            if a is not None and b is not None and a < b and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    left = [(i, t) for i, t in left if root[i] == i]
+    cut = [(i, b.decode("utf-8", "ignore") if gone.any() else t or "") for (i, t), (b, gone) in zip(left, _removed_by_hand(left))]
+    tok = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    want = []
+    for i, t in cut:
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        first = len(ids) % 2048 or 2048
+        for k, at in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[at:at + (first if k == 0 else 2048)]
+            want.append((str(i), k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    found = sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got)
+    assert (set(found) - set(want), set(want) - set(found)) == (set(), set()) and found == sorted(want)
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
