@@ -77,6 +77,15 @@ def freed(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rested(spark) -> None:
+    """Asks the executors' JVMs for a full collection: a heap that the operators before have grown shrinks before Python workers need the memory.
+
+    One task for each core, so that about every executor gets one; nothing depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet into the shared checkpoint folder and read again, so that later reads take only their columns."""
     path = f"{folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from quillmark.llm.common import cut, table, text_batches, text_bytes
+from quillmark.llm.common import cut, rested, table, text_batches, text_bytes
 from quillmark.llm.pieces import claim, release
 
 LENGTH, K = 50, 20
@@ -510,6 +510,7 @@ def removed(docs: DataFrame) -> DataFrame:
     """docs with _bytes, _spans (array of begin and end in bytes), _kept (the remaining bytes) and _text (what is left of a text that lost
     bytes, without characters cut in two; else null); see _helpers() for docs with columns of these names."""
     text_batches(docs.sparkSession)
+    rested(docs.sparkSession)
     names = _helpers(docs)
     size = text_bytes(docs)
     tasks = max(12, size // SHARE)
