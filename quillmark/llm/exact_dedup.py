@@ -67,7 +67,7 @@ def winners(docs: DataFrame) -> tuple[Kept, DataFrame | None]:
 
 def _told(rows: DataFrame, won: Kept) -> DataFrame:
     """rows (doc_id, digest) with their digest's keep_id and group_size, or nulls."""
-    if won.bytes <= common.BROADCAST_BYTES:
+    if won.bytes <= 4 * common.BROADCAST_BYTES:  # the only broadcast of its plan
         return rows.join(F.broadcast(won.df), "digest", "left")
     many = Kept(won.df.where(F.col("group_size") >= HOT).select("digest", F.col("keep_id").alias("k"), F.col("group_size").alias("g")), 96)
     rows = spread(rows, many.df, many.bytes, "digest", "left")

@@ -224,6 +224,23 @@ def test_near_dedup_beyond_the_bound_and_of_odd_ids(spark, docs, texts, monkeypa
         ("2", "2", True), ("3", "3", True), ("5", "3", False), ("5", "3", False), ("7", "2", False), ("7", "2", False), ("9", "9", True), ("9", "9", True), ("None", "None", True)]
 
 
+def test_large_joins_copy_hot_keys_only(spark, monkeypatch):
+    """A table over the bound is shuffled as it is; only keys of many rows are copied over salts. A dozen broadcasts, as hash tables of three times their bytes, take less than half of a small driver's heap."""
+    from quillmark.llm import common
+
+    assert 12 * 3 * common.BROADCAST_BYTES < 750 << 19
+    rows = spark.createDataFrame([(1, k) for k in range(40)] + [(k, 100 + k) for k in range(2, 30)] + [(None, 7)], "k long, v long")
+    found = spark.createDataFrame([(k, f"f{k}") for k in range(1, 40, 2)], "k long, f string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(str, rows.join(found, "k", how).collect()))
+        monkeypatch.setattr(common, "HOT_ROWS", 10)
+        salted = common.spread(rows, found, 1 << 40, "k", how)
+        monkeypatch.setattr(common, "HOT_ROWS", 100)
+        plain = common.spread(rows, found, 1 << 40, "k", how)
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect())) == want
+        assert "explode" in salted._jdf.queryExecution().toString() and "explode" not in plain._jdf.queryExecution().toString()
+
+
 def test_components_in_rounds(spark, monkeypatch):
     """A chain, a star and loose pairs, by one task and by distributed rounds."""
     from quillmark.llm import common
