@@ -51,6 +51,19 @@ def contains_word(text: Column, needle: Column) -> Column:
     return F.when(F.trim(needle) == "", F.lit(False)).when(needle.rlike(java(r"\w")), F.regexp_like(text, edge)).otherwise(F.lower(text).contains(F.lower(F.trim(needle))))
 
 
+def glossary_misses(source: DataFrame, target: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(pair_id, kind, evidence): a term in source (pair_id, src_lang, source_text) without its rendering in target (pair_id, tgt_lang, translation).
+
+    Each side looks for its own terms before they meet, so that no text is shuffled.
+    """
+    g = glossary.select(base_lang(F.col("src_lang")).alias("src"), base_lang(F.col("tgt_lang")).alias("tgt"), "term", "rendering")
+    asked = source.select("pair_id", base_lang(F.col("src_lang")).alias("src"), F.coalesce("source_text", F.lit("")).alias("s")).join(F.broadcast(g), "src")
+    asked = asked.where(contains_word(F.col("s"), F.col("term"))).select("pair_id", "tgt", "rendering")
+    given = target.select("pair_id", base_lang(F.col("tgt_lang")).alias("tgt"), F.coalesce("translation", F.lit("")).alias("t")).join(F.broadcast(g.select("tgt", "rendering").distinct()), "tgt")
+    given = given.where(~contains_word(F.col("t"), F.col("rendering"))).select("pair_id", "tgt", "rendering")
+    return asked.join(given, ["pair_id", "tgt", "rendering"]).select("pair_id", F.lit("glossary").alias("kind"), F.col("rendering").alias("evidence"))
+
+
 def run_qa(pairs: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     """(pair_id, kind, evidence): script leaks, untranslated echoes, placeholders, length and glossary (src_lang, tgt_lang, term, rendering)."""
     p = pairs.select("pair_id", base_lang(F.col("src_lang")).alias("src"), base_lang(F.col("tgt_lang")).alias("tgt"), script_of(F.col("src_lang")).alias("ss"), script_of(F.col("tgt_lang")).alias("ts"),
