@@ -51,6 +51,15 @@ def contains_word(text: Column, needle: Column) -> Column:
     return F.when(F.trim(needle) == "", F.lit(False)).when(needle.rlike(java(r"\w")), F.regexp_like(text, edge)).otherwise(F.lower(text).contains(F.lower(F.trim(needle))))
 
 
+def length_flags(pairs: DataFrame) -> DataFrame:
+    """(pair_id, kind, evidence) of pairs (pair_id, src_lang, tgt_lang, ns, nt) with the span() of each text: a translation too short or too long for its source."""
+    ss, ts = script_of(F.col("src_lang")), script_of(F.col("tgt_lang"))
+    band = F.create_map(*(x for k, (a, b) in BANDS.items() for x in (F.lit(k), F.array(F.lit(a), F.lit(b)))))[F.col("ss")]
+    rows = pairs.select("pair_id", ss.alias("ss"), ts.alias("ts"), F.when(F.col("ns") > 0, F.round(F.col("nt") / F.col("ns"), 3)).alias("ratio"))
+    rows = rows.where((F.col("ts") == "latin") & ((F.col("ratio") < band[0]) | (F.col("ratio") > band[1])))
+    return rows.select("pair_id", F.lit("length_ratio").alias("kind"), F.format_string("%.2f", F.floor(F.col("ratio") * 100 + 0.5) / 100).alias("evidence"))
+
+
 def glossary_misses(source: DataFrame, target: DataFrame, glossary: DataFrame) -> DataFrame:
     """(pair_id, kind, evidence): a term in source (pair_id, src_lang, source_text) without its rendering in target (pair_id, tgt_lang, translation).
 
