@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -34,3 +36,24 @@ def resegmented(a: pd.Series, b: pd.Series) -> pd.Series:
         return out
 
     return pd.Series([one(list(x), list(y)) for x, y in zip(a, b)], dtype=object)
+
+
+#: Pairs of word lists that are looked at together.
+_PAIRS = 500
+
+
+@F.arrow_udf(DoubleType())
+def kept_share(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Share of the words of list a, repeated ones counted each time, that list b has too; null for an empty one."""
+    out = [np.zeros(0)]
+    for k in range(0, len(a), _PAIRS):
+        one, two = a.slice(k, _PAIRS), b.slice(k, _PAIRS)
+        n, m = (np.asarray(x.value_lengths()) for x in (one, two))
+        codes = pa.concat_arrays([one.flatten(), two.flatten()]).dictionary_encode()
+        top, codes = len(codes.dictionary), codes.indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        hit = np.isin(row * top + codes[: n.sum()], np.repeat(np.arange(len(m)), m) * top + codes[n.sum():])
+        with np.errstate(invalid="ignore"):
+            out.append(np.bincount(row[hit], minlength=len(n)) / n)
+    share = np.concatenate(out)
+    return pa.array(share, pa.float64(), mask=np.isnan(share))

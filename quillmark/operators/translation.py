@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.align import kept_share
 from quillmark.plans.rules import java
 
 # Scripts by language (all others Latin), and the span that a translation into Latin script may have.
@@ -60,6 +61,15 @@ def length_flags(pairs: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.lit("length_ratio").alias("kind"), F.format_string("%.2f", F.floor(F.col("ratio") * 100 + 0.5) / 100).alias("evidence"))
 
 
+def echoes(pairs: DataFrame) -> DataFrame:
+    """(pair_id, kind, evidence): translations into another language of the same script that keep most of the source's words."""
+    src, tgt = base_lang(F.col("src_lang")), base_lang(F.col("tgt_lang"))
+    rows = pairs.where((src != tgt) & (script_of(F.col("src_lang")) == script_of(F.col("tgt_lang"))))
+    sw, tw = (F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(java(r"\w+")), F.lit(0)) for c in ("source_text", "translation"))
+    rows = rows.select("pair_id", kept_share(sw, tw).alias("kept")).where(F.col("kept") >= PASSTHROUGH)
+    return rows.select("pair_id", F.lit("untranslated_passthrough").alias("kind"), F.concat(F.round(100 * F.col("kept")).cast("int").cast("string"), F.lit("%")).alias("evidence"))
+
+
 def glossary_misses(source: DataFrame, target: DataFrame, glossary: DataFrame) -> DataFrame:
     """(pair_id, kind, evidence): a term in source (pair_id, src_lang, source_text) without its rendering in target (pair_id, tgt_lang, translation).
 
@@ -75,18 +85,12 @@ def glossary_misses(source: DataFrame, target: DataFrame, glossary: DataFrame) -
 
 def run_qa(pairs: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     """(pair_id, kind, evidence): script leaks, untranslated echoes, placeholders, length and glossary (src_lang, tgt_lang, term, rendering)."""
-    p = pairs.select("pair_id", base_lang(F.col("src_lang")).alias("src"), base_lang(F.col("tgt_lang")).alias("tgt"), script_of(F.col("src_lang")).alias("ss"), script_of(F.col("tgt_lang")).alias("ts"),
+    p = pairs.select("pair_id", base_lang(F.col("src_lang")).alias("src"), base_lang(F.col("tgt_lang")).alias("tgt"), script_of(F.col("tgt_lang")).alias("ts"),
                      F.coalesce("source_text", F.lit("")).alias("s"), F.coalesce("translation", F.lit("")).alias("t"))
     body = F.regexp_replace("t", r"\([^)]*\)|\[[^\]]*\]", " ")
-    leaks = F.when(F.col("ts") == "latin", F.array_distinct(F.regexp_extract_all(body, F.lit(FOREIGN), F.lit(0))))
-    sw, tw = (F.regexp_extract_all(F.lower(c), F.lit(java(r"\w+")), F.lit(0)) for c in ("s", "t"))
-    kept = F.size(F.filter(sw, lambda x: F.array_contains(tw, x))) / F.size(sw)
-    echo = F.when((F.col("src") != F.col("tgt")) & (F.col("ss") == F.col("ts")) & (F.size(sw) > 0) & (kept >= PASSTHROUGH), F.array(F.concat(F.round(100 * kept).cast("int").cast("string"), F.lit("%"))))
-    band = F.create_map(*(x for k, (a, b) in BANDS.items() for x in (F.lit(k), F.array(F.lit(a), F.lit(b)))))[F.col("ss")]
-    ratio = F.round(span(F.col("t")) / span(F.col("s")), 3)
-    length = F.when((F.col("ts") == "latin") & (span(F.col("s")) > 0) & ((ratio < band[0]) | (ratio > band[1])), F.array(F.format_string("%.2f", F.floor(ratio * 100 + 0.5) / 100)))
-    named = [("source_script_leak", leaks), ("untranslated_passthrough", echo), ("length_ratio", length)]
-    flags = p.select("pair_id", F.inline(F.flatten(F.array(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), _kind(k)) for k, c in named)))))
+    leaks = p.where("ts = 'latin'").select("pair_id", F.lit("source_script_leak").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(FOREIGN), F.lit(0)))).alias("evidence"))
+    spans = pairs.select("pair_id", "src_lang", "tgt_lang", span(F.col("source_text")).alias("ns"), span(F.col("translation")).alias("nt"))
+    flags = leaks.unionByName(echoes(pairs)).unionByName(length_flags(spans))
     lost = bag_difference(p.select("pair_id", placeholders(F.col("s")).alias("a"), placeholders(F.col("t")).alias("b")), "pair_id", "a", "b")
     flags = flags.unionByName(lost.select("pair_id", F.lit("placeholder").alias("kind"), F.col("value").alias("evidence"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_")).drop("_"))
     if glossary is not None:
@@ -95,10 +99,6 @@ def run_qa(pairs: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     return flags
 
 
-def _kind(k: str):
-    return lambda x: F.struct(F.lit(k).alias("kind"), x.alias("evidence"))
-
-
 def verdicts(pairs: DataFrame, flags: DataFrame) -> DataFrame:
     """(pair_id, ok, verifiable, n_flags)."""
     n = flags.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_flags"))

@@ -188,3 +188,24 @@ def test_translation_queries_read_whole_texts(spark, tmp_path):
     got = queries()["translation_qa"](spark, str(tmp_path)).collect()
     assert any("{late}" in str(r) for r in got)
     assert queries()["translation_verdicts"](spark, str(tmp_path)).count() == 1
+
+
+def test_translation_queries_compute_their_own_check(spark, tmp_path):
+    """Each does its check alone: no text is shuffled to measure it or to look up a term, and kept words are not searched list by list."""
+    from quillmark.catalog import QUERIES
+
+    docs = [(0, "the cat", "en"), (1, "un gato", "en"), (2, "Uno dos dos tres", "es"), (3, "dos uno x", "en"), (4, None, "de"), (5, "x" * 90, "en"), (6, "and", "en"), (7, "the  end", "ru")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {q: QUERIES[q](spark, str(tmp_path)) for q in ("glossary_miss", "length_band", "passthrough_ratio")}
+    assert sorted(map(tuple, got["glossary_miss"].collect())) == [(0,)]
+    assert {r["pair_id"] for r in got["length_band"].collect()} == {3, 4, 5}
+    assert [tuple(r) for r in got["passthrough_ratio"].collect()] == [(2,)]
+    for q, df in got.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_contains" not in plan and "FOREIGN" not in plan and "Generate" not in plan
+        assert q == "passthrough_ratio" or "regexp" in plan.split("Join", 1)[1]  # below the join
+    from quillmark.functions.align import kept_share
+    from pyspark.sql import functions as F
+
+    lists = spark.createDataFrame([(["a", "b", "a", "z"], ["a", "q"]), ([], ["a"]), (["b"], []), (["é", "a"], ["a", "é"])] * 400, "a array<string>, b array<string>")
+    assert [r[0] for r in lists.select(kept_share(F.col("a"), F.col("b"))).collect()] == [0.5, None, 0.0, 1.0] * 400
