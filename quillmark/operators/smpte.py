@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 TIMECODE = r"(\d{2}):(\d{2}):(\d{2})([:;])(\d{2})"
 # Frames in ten drop-frame minutes and in one that drops two.
 TEN_MINUTES, MINUTE = 17982, 1798
+#: Frames after which drop-frame codes begin again.
+DAY = 30 * 60 * 60 * 24
 
 
 def is_valid(tc: Column) -> Column:
@@ -41,7 +43,8 @@ def frame_to_tc(frame: Column, rate: Column) -> Column:
 
 
 def frame_to_tc_drop(frame: Column) -> Column:
-    f = frame % (30 * 60 * 60 * 24)
+    """The code within its day: frames of DAY and more begin again, those below 0 count back from its end."""
+    f = F.pmod(frame, F.lit(DAY))
     tens, rest = F.floor(f / TEN_MINUTES), f % TEN_MINUTES
     g = f + 18 * tens + F.when(rest > 2, 2 * F.floor((rest - 2) / MINUTE)).otherwise(0)
     return _clock(F.floor(g / 30), g % 30, ";")

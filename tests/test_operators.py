@@ -190,6 +190,15 @@ def test_translation_queries_read_whole_texts(spark, tmp_path):
     assert queries()["translation_verdicts"](spark, str(tmp_path)).count() == 1
 
 
+def test_drop_frames_of_many_days(spark, tmp_path):
+    """The round trip keeps the days that a code doesn't show."""
+    from quillmark.catalog import QUERIES
+
+    ids = (0, 1, 1799, 70_053, 70_054, 140_109, 6_000_000)
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in QUERIES["smpte_drop_round_trip"](spark, str(tmp_path)).collect()} == {(i, i * 37) for i in ids}
+
+
 def test_translation_queries_compute_their_own_check(spark, tmp_path):
     """Each does its check alone: no text is shuffled to measure it or to look up a term, and kept words are not searched list by list."""
     from quillmark.catalog import QUERIES
