@@ -241,6 +241,53 @@ def test_large_joins_copy_hot_keys_only(spark, monkeypatch):
         assert "explode" in salted._jdf.queryExecution().toString() and "explode" not in plain._jdf.queryExecution().toString()
 
 
+def test_sieve_loses_no_match(spark, monkeypatch):
+    """Rows that meet none of a large table's keys go before the shuffle, but for a few; a small table will be broadcast."""
+    from quillmark.llm import common
+
+    rows = spark.range(200_000).selectExpr("id * 7919 AS key", "id AS v")
+    found = common.Kept(spark.range(0, 200_000, 20).selectExpr("id * 7919 AS key"))
+    assert common.sifted(rows, found, "key") is rows
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    for most in (common.SLICES, 1):  # one slice is 52 bits a key here
+        monkeypatch.setattr(common, "SLICES", most)
+        left = common.sifted(rows, found, "key")
+        assert left.columns == ["key", "v"] and left.where("v % 20 = 0").count() == 10_000 and left.count() < 12_000
+    monkeypatch.setattr(common, "SLICE_BITS", 1 << 12)  # 52 bits a key in many small slices
+    monkeypatch.setattr(common, "SLICES", 128)
+    left = common.sifted(rows, found, "key")
+    assert left.where("v % 20 = 0").count() == 10_000 and left.count() < 14_000
+
+
+def test_near_dedup_shuffles_bands_once(spark, monkeypatch):
+    """Beyond the bound, only bands that two classes share and texts that have a candidate are moved after the count."""
+    from quillmark.llm import common
+
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(3000)]
+    rows = list(enumerate(texts + [t + " end" for t in texts[:50]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    assert df.count() == 3050
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    for module in (common, minhash_dedup):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small enough for Spark's own broadcasts
+    try:
+        got = _by(minhash_dedup.near_dedup(df))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {i for i, r in got.items() if not r["kept"]} == set(range(3000, 3050)) and all(got[3000 + i]["component_id"] == i for i in range(50))
+    moved = sum(n for k, n in written().items() if k not in before)
+    assert 48 * 3050 <= moved < 2 * 48 * 3050
+
+
 def test_components_in_rounds(spark, monkeypatch):
     """A chain, a star and loose pairs, by one task and by distributed rounds."""
     from quillmark.llm import common
