@@ -325,6 +325,38 @@ def test_near_dedup_of_one_hot_group(spark):
     assert {i: r["component_id"] for i, r in got.items()} == root
 
 
+def test_near_dedup_ends_in_few_rounds(spark, monkeypatch):
+    """Texts of one family that meet in many buckets and mostly don't link: few tables, and the same rows with and without the round of all pairs."""
+    rng = random.Random(9)
+    rows = []
+    for f in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for i in range(24):
+            w = list(base)
+            for k in rng.sample(range(150), rng.randrange(4, 12)):
+                w[k] = f"x{rng.randrange(10**9)}"
+            rows.append((100 * f + i, " ".join(w)))
+    sets = {i: _shingles(t) for i, t in rows}
+    near = {a: [b for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])] for a in sets}
+    want, new = None, {a: a for a in sets}
+    while new != want:
+        want, new = new, {a: min(new[b] for b in near[a]) for a in sets}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+
+    class Counted(minhash_dedup.Kept):
+        def __init__(self, *a, **b):
+            made.append(1)
+            super().__init__(*a, **b)
+
+    monkeypatch.setattr(minhash_dedup, "Kept", Counted)
+    assert {i: r["component_id"] for i, r in _by(minhash_dedup.near_dedup(df)).items()} == want
+    assert len(made) <= 36, len(made)
+    for name, value in (("ALL_PAIRS", 0), ("HUBS", 4)):  # rounds to the end; then hubs by parts of the ids as well
+        monkeypatch.setattr(minhash_dedup, name, value)
+        assert {i: r["component_id"] for i, r in _by(minhash_dedup.near_dedup(df)).items()} == want
+
+
 def test_hyperminhash_estimate():
     rng = np.random.default_rng(4)
     for n, share in ((2000, 0.75), (500, 0.3), (2000, 0.0)):
